@@ -11,12 +11,22 @@ from driftloom.llm.mixing import mix, mix_report, mixing_rates, sized_documents
 from driftloom.llm.names import linked_spellings, resolve_names
 from driftloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from driftloom.llm.responses import find_defects
+from driftloom.llm.scans import find_noise, repair_texts
 from driftloom.llm.splitting import split_texts
 from driftloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_noise(table(spark, folder, "parsed"), table(spark, folder, "cleaned"))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed texts as readable paragraphs."""
+    return repair_texts(table(spark, folder, "parsed"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_defects(table(spark, folder, "llm_log"))
 
@@ -55,7 +65,7 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p5_found, p6_found, p7_mix, p7_shares, p8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
