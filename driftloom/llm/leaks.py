@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬]\s*\n[\s>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _ENTITY = {"&amp;": "&", "&nbsp;": " "}

@@ -151,7 +151,7 @@ def _ending(response: str) -> str:
 
 def judge(query: str | None, response: str | None) -> tuple[str, str]:
     """The defects that the pair itself shows, joined by commas, and how the response ends."""
-    query, text = query or "", (response or "").replace("​", "").replace("﻿", "").strip()
+    query, text = query or "", (response or "").replace("\u200b", "").replace("\ufeff", "").strip()
     bare = _LABEL.sub("", _TAG.sub("", text))
     if "".join(_WORD.findall(bare)).lower() in _NOTHING or "".join(_WORD.findall(text)).lower() in _NOTHING | {"a", "answer", "antwort", "réponse", "respuesta"}:
         return "empty", "closed"

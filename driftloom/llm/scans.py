@@ -31,7 +31,7 @@ CONFUSIONS = (
 )
 CONFUSION_COST = 0.25
 _PLAIN = {read: true for true, read in CONFUSIONS if not read.isalpha()}
-_MARKS = "-‐‑¬­–"
+_MARKS = "-‐‑¬\u00ad–"
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@!'’](?=[^\W_]))*")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
 _BROKEN_END = re.compile(rf"((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:[^\W_]|[@!](?=\w))+)*)([{_MARKS}])\s*$")
@@ -357,7 +357,7 @@ def broken_words(lines: DataFrame) -> DataFrame:
     n = lambda name: F.coalesce(f"{name}_n", F.lit(0))
     written = F.greatest(n("joined"), n("whole"))
     # neither form known: a sign that only layout uses, or a half that is no word by itself
-    unknown = (written == 0) & (n("dashed") == 0) & (F.col("mark").isin("‐", "¬", "­") | (F.least(n("head"), n("second")) == 0)) & F.col("second").rlike(r"^[a-zà-ÿ]")
+    unknown = (written == 0) & (n("dashed") == 0) & (F.col("mark").isin("‐", "¬", "\u00ad") | (F.least(n("head"), n("second")) == 0)) & F.col("second").rlike(r"^[a-zà-ÿ]")
     digits = F.col("head").rlike(r"^\d*$") | F.col("second").rlike(r"^\d")
     return pieces.where(~digits & ((written > n("dashed")) | ((F.col("mark") != "-") & (F.col("mark") != "–") & (written >= n("dashed")) & (written > 0)) | unknown)).select(
         "field_name", "record_id", "line_no", "first", "second", "mark", "joined"
