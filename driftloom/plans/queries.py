@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.operators.nested import chunk_children, flatten_records
+from driftloom.plans import search_queries
 from driftloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +23,18 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return flatten_records(table(spark, folder, "llm_input"))
 
 
+_MODULES = (search_queries,)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Search, graded relevance and NDCG over all usable vectors."""
+    return search_queries.ndcg_at_k(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_nodes)}
+    """The problem's queries first, then those of each family."""
+    return {f.__name__: f for f in (p4_found, p4_nodes)} | {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
