@@ -51,7 +51,7 @@ LINK_LINES: list[Step] = [(r"(?im)^[ \t]*(?:doi|arxiv|http|https)[: \t][^\n]*$",
 CONTENTS_LINE = rf"(?i)^{SPACE}*(?:table{SPACE}+of{SPACE}+contents|inhaltsverzeichnis|contents){SPACE}*$"
 LAYOUT_LINE = (
     rf"(?i)^{SPACE}*(?:page{SPACE}+[0-9]+|p\.?{SPACE}*[0-9]+|[0-9]+){SPACE}*$"
-    rf"|(?i)^{SPACE}*(?:funded{SPACE}+by|supported{SPACE}+by|this{SPACE}+preprint{SPACE}+|arxiv:{SPACE}*[0-9]{{4}}\.[0-9]{{4,5}}).*$"
+    rf"|(?i)^{SPACE}*(?:funded{SPACE}+by|supported{SPACE}+by|this{SPACE}+preprint{SPACE}+|arxiv:{SPACE}*[0-9]{{4}}\.[0-9]{{4,5}})[^\n]*$"
     rf"|(?i)^{SPACE}*doi:{SPACE}*10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+$"
 )
 SHORT_LINE = 80

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.operators.nested import chunk_children, flatten_records
-from driftloom.plans import search_queries
+from driftloom.plans import eval_queries, search_queries, text_queries
 from driftloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return flatten_records(table(spark, folder, "llm_input"))
 
 
-_MODULES = (search_queries,)
+_MODULES = (search_queries, text_queries, eval_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
