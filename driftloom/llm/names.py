@@ -10,8 +10,9 @@ Blocking keys are symmetric deletes: the name and the name less one letter, so t
 one edit apart share a key.  They also hold the first letter of the given name or its full forms.
 
 Scale: only distinct spellings are compared, however often each occurs; keys spread them over
-blocks of the spellings of nearly equal names.  Each round is one join on the keys, one aggregation,
-and label propagation over the round's links; profiles are cut to the checkpoint folder.
+blocks of the spellings of nearly equal names.  A round is one join on the keys and a few small ones
+on what fits; every profile joins one richer profile (or that one's own), and what is left to merge
+merges in the next round.  Profiles are cut to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -242,26 +243,6 @@ def _spellings(names: DataFrame) -> DataFrame:
     )
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(id, label)``: each linked id with the smallest id that it is connected to.
-
-    ``links``: (a, b).  Smallest labels are propagated, and labels' labels taken over, until nothing
-    changes; all by joins.
-    """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        nearer = labels.join(seen, "a").select("a", F.least("label", "other").alias("near"), F.col("label").alias("old"))
-        jump = labels.select(F.col("a").alias("near"), F.col("label").alias("far"))
-        stepped = cut(nearer.join(jump, "near", "left").select("a", F.least("near", F.coalesce("far", "near")).alias("label"), "old"))
-        changed = stepped.where("label <> old").limit(1).count()
-        labels = stepped.select("a", "label")
-        if not changed:
-            break
-    return labels.select(F.col("a").alias("id"), "label")
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _block_keys(kind: pd.Series, last: pd.Series, first: pd.Series) -> pd.Series:
     return pd.Series([_keys(k, list(a), list(b)) for k, a, b in zip(kind, last, first)])
@@ -278,7 +259,13 @@ def _richness(first, more):
     return F.when(longest > 2, 2).when(longest > 0, F.lit(0)).otherwise(-1) + F.when(F.size(more) > 0, 1).otherwise(0)
 
 
-def resolve_names(records: DataFrame, *, authors: str = "authors", rounds: int = 8) -> DataFrame:
+def _with_richness(profiles: DataFrame) -> DataFrame:
+    acronym = F.forall("topics", lambda t: t.startswith("|"))
+    rich = F.when(F.col("kind") == "org", F.when(acronym, 1).otherwise(3)).otherwise(_richness(F.col("first"), F.col("more")))
+    return profiles.withColumn("rich", rich)
+
+
+def resolve_names(records: DataFrame, *, authors: str = "authors", rounds: int = 12) -> DataFrame:
     """``(name, entity)``: every spelling that names somebody, with the entity that it belongs to.
 
     Defined cases: null and empty arrays, null elements and placeholders (dashes, "unknown", "et
@@ -286,43 +273,40 @@ def resolve_names(records: DataFrame, *, authors: str = "authors", rounds: int =
     spelling like any other; further columns are ignored; an empty table gives an empty result.
     """
     names = records.select(F.explode(authors).alias("name")).where("name is not null").distinct()
-    spelling = cut(_spellings(names))
-    entity = spelling.select("id", F.col("id").alias("entity"))
-    profile = spelling.drop("name")
+    columns = ("last", "first", "more", "topics")
+    profile = cut(_with_richness(_spellings(names).withColumn("members", F.array("name")).drop("name")))
     for turn in range(rounds):
-        rich = _richness(F.col("first"), F.col("more"))
-        table = cut(profile.withColumn("rich", F.when(F.col("kind") == "org", F.when(F.col("topics")[0].startswith("|"), 1).otherwise(3)).otherwise(rich)))
         # full names first, then names without initials, then what only initials tell
-        least = 3 - turn if turn < 3 else 0
-        entering = table.where(F.col("rich") >= max(0, least))
-        keyed = entering.withColumn("key", F.explode(_block_keys("kind", "last", "first")))
-        ids = keyed.select("key", "id")
-        pairs = ids.join(ids.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct()
-        with_x = pairs.join(entering.select("id", "kind", *(F.col(c).alias(f"x_{c}") for c in ("last", "first", "more", "topics", "rich"))), "id")
-        with_y = with_x.join(entering.select(F.col("id").alias("other"), *(F.col(c).alias(f"y_{c}") for c in ("last", "first", "more", "topics", "rich"))), "other")
-        fitting = cut(
-            with_y.where(_fit("kind", "x_last", "x_first", "x_more", "x_topics", "y_last", "y_first", "y_more", "y_topics")).select(
-                F.col("id").alias("a"), F.col("other").alias("b"), F.col("x_rich").alias("ra"), F.col("y_rich").alias("rb")
-            )
+        least = max(0, 3 - turn)
+        keyed = profile.where(F.col("rich") >= least).select(
+            F.explode(_block_keys("kind", "last", "first")).alias("key"), "id", F.struct("kind", *columns, "rich").alias("p")
         )
-        # the poorer profile joins the richer one if everything that it fits fits together
-        directed = fitting.unionByName(fitting.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))).where("ra <= rb")
-        fans = directed.groupBy("a").agg(F.count("*").alias("n"))
-        left = directed.join(fans.where("n > 1").select("a"), "a")
-        # candidates of one profile that do not fit each other
-        candidates = left.select("a", "b").join(left.select("a", F.col("b").alias("c")), "a").where("b < c")
+        twin = keyed.select("key", F.col("id").alias("other"), F.col("p").alias("q"))
+        pairs = keyed.join(twin, "key").where("id < other").groupBy("id", "other").agg(F.any_value("p").alias("p"), F.any_value("q").alias("q"))
+        parts = [F.col(f"{side}.{c}") for side in "pq" for c in columns]
+        fitting = cut(pairs.where(_fit("p.kind", *parts)).select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("p.rich").alias("ra"), F.col("q.rich").alias("rb")))
+        # the poorer profile joins a richer one if everything that it fits fits together
+        mirrored = fitting.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+        directed = fitting.unionByName(mirrored).where("ra <= rb")
+        candidates = directed.select("a", "b").join(directed.select("a", F.col("b").alias("c")), "a").where("b < c")
         torn = candidates.join(fitting.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_anti").select("a").distinct()
-        links = cut(directed.join(torn, "a", "left_anti").select("a", "b"))
-        if not links.limit(1).count():
-            if least <= 0:
+        free = directed.join(torn, "a", "left_anti")
+        # of both ends the poorer, or later, one takes the other as parent: an order without cycles
+        upward = (F.col("rb") > F.col("ra")) | (F.col("b") < F.col("a"))
+        oriented = free.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(upward, F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+        parents = cut(oriented.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rb"), "b")).alias("b")))
+        if parents.isEmpty():
+            if least == 0:
                 break
             continue
-        merged = components(links)
-        labels = table.join(merged, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        above = parents.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        labels = parents.join(above, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("label"))
         union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-        profile = cut(labels.groupBy("label").agg(F.first("kind").alias("kind"), *(union(c).alias(c) for c in ("last", "first", "more", "topics"))).withColumnRenamed("label", "id"))
-        entity = cut(entity.join(merged.select(F.col("id").alias("entity"), "label"), "entity", "left").select("id", F.coalesce("label", "entity").alias("entity")))
-    return spelling.select("id", "name").join(entity, "id").select("name", "entity")
+        merged = profile.join(labels, "id", "left").groupBy(F.coalesce("label", "id").alias("id")).agg(
+            F.first("kind").alias("kind"), *(union(c).alias(c) for c in (*columns, "members"))
+        )
+        profile = cut(_with_richness(merged))
+    return profile.select(F.explode("members").alias("name"), F.col("id").alias("entity"))
 
 
 def linked_spellings(resolved: DataFrame) -> DataFrame:
