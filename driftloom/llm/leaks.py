@@ -16,6 +16,7 @@ items there are.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,15 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬]\s*\n[\s>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-_ENTITY = {"&amp;": "&", "&nbsp;": " "}
 _BASE = np.uint64(1_000_003)
 
 
 def _tag(match: re.Match) -> str:
-    import html
-
     found = match[0]
     return html.unescape(found) if found[0] == "&" else ""
 

@@ -46,6 +46,7 @@ _TITLES = {"dr", "prof", "professor", "phd", "msc", "bsc", "ma", "ba", "md", "jr
 _NOBODY = {"", "na", "nn", "unknown", "anonymous", "anon", "etal", "none", "null", "nil", "various", "author", "authors", "unbekannt", "inconnu", "anonyme", "anonym", "anonimo", "desconocido", "staff", "editor", "editors", "tba", "nan", "noauthor", "namelos", "verschiedene", "diverse"}
 _SMALL = {"for", "of", "f", "the", "study", "and", "fur", "de", "des", "der"}
 _ACRONYM = re.compile(r"^([A-Za-z]{3,6})\s*\(([^()]+)\)$")
+_LONGEST = 60
 _DIGITS = str.maketrans("0135", "oles")
 
 
@@ -196,7 +197,8 @@ def profiles_fit(kind: str, a_last, a_first, a_more, a_topics, b_last, b_first,
 
 
 def _deletes(word: str) -> set[str]:
-    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))} if len(word) >= 5 else {word}
+    """The word and, of usual length, the word less each letter; longer ones must be equal."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))} if 5 <= len(word) <= _LONGEST else {word}
 
 
 def _keys(kind: str, last: list[str], first: list[str]) -> list[str]:

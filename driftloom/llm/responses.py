@@ -43,7 +43,7 @@ _LANGUAGE_NAMES = {
 }
 _NAMED = {name: code for code, names in _LANGUAGE_NAMES.items() for name in names}
 _REQUEST = re.compile(
-    r"[\s,.;?!¿¡()-]*\b(?:please\s+|bitte\s+|por favor\s+|s'il vous plaît\s+)?"
+    r"[\s,.;?!¿¡()-]{0,20}\b(?:please\s+|bitte\s+|por favor\s+|s'il vous plaît\s+)?"
     r"(?:(?:reply|answer|respond|write)\s+in|(?:antworte\w*|schreib\w*)?\s*(?:bitte\s+)?auf|(?:réponds|répondez|répondre)\s+en|(?:responde|responda|contesta|conteste)\s+en)\s+"
     rf"({'|'.join(_NAMED)})\b[\s.!]*",
     re.IGNORECASE,

@@ -30,12 +30,14 @@ CONFUSIONS = (
     ("in", "m"), ("w", "vv"), ("li", "h"), ("1", "l"), ("0", "o"), ("5", "s"), ("1", "i"), ("q", "9"), ("z", "2"), ("b", "8"), ("n", "ri"), ("nn", "rm"),
 )
 CONFUSION_COST = 0.25
+_KNOWN = frozenset(CONFUSIONS)
 _PLAIN = {read: true for true, read in CONFUSIONS if not read.isalpha()}
 _MARKS = "-‐‑¬\u00ad–"
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@!'’](?=[^\W_]))*")
-_COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
-_BROKEN_END = re.compile(rf"((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:[^\W_]|[@!](?=\w))+)*)([{_MARKS}])\s*$")
-_BROKEN_INSIDE = re.compile(rf"((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:[^\W_]|[@!](?=\w))+)*)([{_MARKS}])[ \t]+(?=[^\W_])")
+_COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
+#: The first half starts where a word does, so that a long run of letters is scanned once.
+_BROKEN_END = re.compile(rf"(?<![^\W_])((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:[^\W_]|[@!](?=\w))+){{0,6}})([{_MARKS}])\s*$")
+_BROKEN_INSIDE = re.compile(rf"(?<![^\W_])((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:[^\W_]|[@!](?=\w))+){{0,6}})([{_MARKS}])[ \t]+(?=[^\W_])")
 _MARK_PAGE = re.compile(r"^(?:(?:page|pages|p\.|seite|s\.|página|pág\.|pagina)\s*\d{1,5}(?:\s*(?:of|von|de|sur|/)\s*\d{1,5})?|[-–—]\s*\d{1,5}\s*[-–—]|\[\s*\d{1,5}\s*\])$", re.IGNORECASE)
 _ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.IGNORECASE)
 _NUMBERS = re.compile(r"^\s*\d+(?:[.,]\d+)?(?:\s+\d+(?:[.,]\d+)?)*\s*$")
@@ -70,11 +72,22 @@ def furniture_lines(lines: list[str]) -> set[int]:
     singles = [k for k in filled if re.fullmatch(r"\d{1,5}", undigit_numbers(bare[k]))]
     tabled = {k for k in singles if any(0 <= j < len(bare) and j not in found and bare[j] and _NUMBERS.match(bare[j]) for j in (k - 1, k + 1))}
     value = {k: int(undigit_numbers(bare[k])) for k in singles}
-    chain: dict[int, list[int]] = {}
+    # longest run of numbers that follow one another, rather of those outside tables
+    ends: dict[int, tuple[tuple[int, int], int]] = {}
+    before: dict[int, int | None] = {}
+    longest: tuple[tuple[int, int], int | None] = ((0, 0), None)
     for k in singles:
-        before = [chain[j] for j in singles if j < k and value[j] + 1 == value[k]]
-        chain[k] = [*max(before, key=lambda c: (sum(j not in tabled for j in c), len(c)), default=[]), k]
-    best = max(chain.values(), key=lambda c: (sum(j not in tabled for j in c), len(c)), default=[])
+        (free, size), last = ends.get(value[k] - 1, ((0, 0), None))
+        score = (free + (k not in tabled), size + 1)
+        before[k] = last
+        if value[k] not in ends or score >= ends[value[k]][0]:
+            ends[value[k]] = (score, k)
+        if score > longest[0]:
+            longest = (score, k)
+    best, k = [], longest[1]
+    while k is not None:
+        best.append(k)
+        k = before[k]
     if len(best) >= 2 and any(k not in tabled for k in best):
         found.update(best)
     elif not styled and not roman:
@@ -222,9 +235,9 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
             skip.setdefault(n, set()).add(m.span(1))
             skip.setdefault(where, set()).add((offset + second.start(1), offset + second.end(1)))
     for n, line in enumerate(lines):
-        words = []
+        words, halves = [], {k for a, b in skip.get(n, ()) for k in range(a, b)}
         for m in _WORD.finditer(body[n]):
-            if not any(a < m.end() and m.start() < b for a, b in skip.get(n, ())):
+            if m.start() not in halves and m.end() - 1 not in halves:
                 words.append(m[0].casefold().replace("’", "'"))
         compounds = [c.casefold().replace("‐", "-").replace("‑", "-") for c in _COMPOUND.findall(body[n])]
         yield n + 1, n in noise, line, words, broken.get(n, []), compounds
@@ -271,7 +284,17 @@ def delete_keys(word: str) -> set[str]:
 
 def scan_distance(read: str, true: str) -> float:
     """Edit distance from the true to the read word; known confusions are cheap."""
+    k = 0
+    while k < min(len(true), len(read)) and true[k] == read[k]:
+        k += 1
+    true, read = true[k:], read[k:]
+    while true and read and true[-1] == read[-1]:
+        true, read = true[:-1], read[:-1]
+    if (true, read) in _KNOWN:
+        return CONFUSION_COST
     n, m = len(true), len(read)
+    if n <= 1 and m <= 1:
+        return float(n or m)
     best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n + 1):
         for j in range(m + 1):

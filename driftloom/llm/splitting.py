@@ -30,7 +30,7 @@ from driftloom.llm.tokens import DEFAULT_TOKENIZER, TokenCounter, counter
 INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 STRENGTHS = ("inside word", "word", "clause", "sentence", "line", "paragraph")
 _BOUNDARY = re.compile(
-    r"(?P<para>[^\S\n]*\n[^\S\n]*\n\s*)|(?P<line>[^\S\n]*\n\s*)|(?<=[.!?…。！？])[\"'”’»)\]]*(?P<sent>\s+)(?=[^\sa-zà-ÿ])|(?<=[,;:])(?P<clause>\s+)"
+    r"(?<![^\S\n])(?P<para>[^\S\n]*\n[^\S\n]*\n\s*)|(?<![^\S\n])(?P<line>[^\S\n]*\n\s*)|(?<=[.!?…。！？])[\"'”’»)\]]*(?P<sent>\s+)(?=[^\sa-zà-ÿ])|(?<=[,;:])(?P<clause>\s+)"
 )
 _KINDS = {"para": PARAGRAPH, "line": LINE, "sent": SENTENCE, "clause": CLAUSE}
 
