@@ -122,10 +122,14 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {
 
 
 def clean_text(text: Column, steps: Sequence[str] = tuple(CLEANERS)) -> Column:
-    """The cleaning chain; null becomes empty.  Steps can be chosen by name."""
+    """The cleaning chain; null becomes empty.  Steps can be chosen by name.
+
+    Each step works on a bound variable: a step that names its text several times would otherwise
+    have all steps before it computed as often.
+    """
     text = F.coalesce(text, F.lit(""))
     for name in steps:
-        text = CLEANERS[name](text)
+        text = F.get(F.transform(F.array(text), CLEANERS[name]), F.lit(0))
     return text
 
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftloom.plans.spread import spread
+
 _KINDS = {ord("{"): "object", ord("["): "array", ord('"'): "string", ord("n"): "null", ord("t"): "boolean", ord("f"): "boolean"}
 _MAX_TEXT_LEVELS = 8
 _NODE_FIELDS = (
@@ -170,7 +172,7 @@ def flatten_records(records: DataFrame, *, record_id: str = "input_id", payload:
                     yield pa.RecordBatch.from_arrays(arrays, ["record_id", *(f[0] for f in _NODE_FIELDS)])
 
     schema = "record_id bigint, " + ", ".join(f"{name} {kind}" for name, kind, _ in _NODE_FIELDS)
-    return rows.mapInArrow(index, schema)
+    return spread(rows).mapInArrow(index, schema)
 
 
 def _positions(path: Column) -> Column:
