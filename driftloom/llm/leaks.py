@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from driftloom.plans.spread import spread
+
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
@@ -222,7 +224,7 @@ def find_leaks(
     total = numbered.agg(F.sum(F.length("p"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     schema = "doc_id bigint, item_id bigint, first_word int, last_word int, covered int, item_words int"
-    texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
     result = None
     for block in range(blocks):
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)

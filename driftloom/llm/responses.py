@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftloom.plans.lineage import cut
+from driftloom.plans.spread import spread
 
 # Frequent words that tell the four languages of the corpus apart.
 STOP_WORDS = {
@@ -228,7 +229,7 @@ def find_defects(
     def judged(query: pd.Series, response: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(q, r) for q, r in zip(query, response)], columns=["defects", "ending"])
 
-    rows = rows.withColumn("response", F.rtrim("response")).withColumn("h", F.xxhash64("response")).withColumn("j", judged("query", "response"))
+    rows = spread(rows).withColumn("response", F.rtrim("response")).withColumn("h", F.xxhash64("response")).withColumn("j", judged("query", "response"))
     rows = cut(rows.select("log_id", "model", "h", F.length("response").alias("size"), "response", "j.*"))
     short = _shortened(rows.where("size >= 12").select("response", "h").distinct(), partitions).withColumn("shortened", F.lit(True))
     sizes = rows.where("ending <> 'closed' and size > 60").groupBy("model", "size").agg(F.count("*").alias("n"))

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from driftloom.plans.lineage import cut
+from driftloom.plans.spread import spread
 
 # Fixed values: (true letters, letters read instead).
 CONFUSIONS = (
@@ -249,6 +250,7 @@ _LINE = "field_name string, record_id bigint, line_no int, furniture boolean, li
 def scan_lines(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
     """One row per line of both tables, see :func:`read_lines`."""
     rows = parsed.select(F.lit("text").alias("field_name"), F.col("parse_id").cast("bigint").alias("record_id"), F.col("text").cast("string"), F.lit(None).cast("string").alias("source")).where("record_id is not null")
+    rows = spread(rows)
     if cleaned is not None:
         sources = parsed.groupBy(F.col("parse_id").cast("bigint").alias("parse_id")).agg(F.max(F.col("text").cast("string")).alias("source"))
         own = cleaned.select(F.col("clean_id").cast("bigint").alias("record_id"), F.col("parse_id").cast("bigint").alias("parse_id"), F.col("cleaned_text").cast("string").alias("text")).where("record_id is not null")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftloom.llm.tokens import DEFAULT_TOKENIZER, TokenCounter, counter
+from driftloom.plans.spread import spread
 
 #: Strengths of boundaries, weakest first.
 INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
@@ -233,4 +234,4 @@ def split_texts(
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)

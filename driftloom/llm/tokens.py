@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from driftloom.plans.spread import spread
+
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of this vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,4 +68,4 @@ def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", tokeni
             n = pa.array([sizes.count(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*batch.schema.names[:-1], "n_tokens"])
 
-    return kept.mapInArrow(count, schema)
+    return spread(kept).mapInArrow(count, schema)
