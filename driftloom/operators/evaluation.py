@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from driftloom.operators.ordering import numbered, running_sums
+
 
 def ndcg(ranked: DataFrame, k: int | Column, *, group: list[str], rank: str = "rank", relevance: str = "relevance") -> DataFrame:
     """Linear-gain NDCG of the first k; the ideal order is that of the same list. 0 without gain."""
@@ -29,8 +31,8 @@ def words_of(text: Column) -> Column:
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks with ties at their mean, by the counts of distinct values and not over all rows."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.withColumn(out, before + (F.col("n") + 1) / 2).drop("n"), value, "left")
+    before = running_sums(counts, [value], F.col("n"), "before")
+    return rows.join(before.select(value, (F.col("before") + (F.col("n") + 1) / 2).alias(out)), value, "left")
 
 
 def bootstrap_means(values: DataFrame, *, value: str, order: str, iterations: int, seed: int) -> DataFrame:
@@ -39,12 +41,13 @@ def bootstrap_means(values: DataFrame, *, value: str, order: str, iterations: in
     The records are numbered once; each turn draws as many as there are, so the work is turns times
     records, spread over all tasks, and only the joined numbers are shuffled.
     """
-    numbered = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), (F.row_number().over(W.orderBy(order)) - 1).cast("bigint").alias("at"))
-    size = numbered.agg(F.count("*").alias("n"))
+    known = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(order))
+    placed = numbered(known, [order], "at").select("x", "at")
+    size = placed.agg(F.count("*").alias("n"))
     turns = values.sparkSession.range(iterations).withColumnRenamed("id", "turn")
     draws = turns.crossJoin(size).where("n > 0").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("turn"), F.col("slot")).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return draws.withColumn("at", digest % F.col("n")).join(numbered, "at").groupBy("turn").agg(F.avg("x").alias("mean"))
+    return draws.withColumn("at", digest % F.col("n")).join(placed, "at").groupBy("turn").agg(F.avg("x").alias("mean"))
 
 
 def iqr_and_z_outliers(records: DataFrame, metrics: list[str], *, iqr: float = 1.5, z: float = 3.0) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftloom.functions import text as tx
 from driftloom.functions.vectors import band
 from driftloom.operators import evaluation as ev
+from driftloom.operators.ordering import numbered_within
 from driftloom.sources.tables import table
 
 STRICT_YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)"
@@ -128,10 +129,9 @@ def control_chart(spark: SparkSession, folder: str) -> DataFrame:
     """Records in order within their model, with mean and limits."""
     rows = records(spark, folder).where("ndcg is not null")
     stats = rows.groupBy("model").agg(F.avg("ndcg").alias("m"), F.stddev_pop("ndcg").alias("s"))
-    run = F.row_number().over(W.partitionBy("model").orderBy("log_id"))
     r6 = lambda c: F.round(c, 6)
     m, s = F.col("m"), F.col("s")
-    return rows.withColumn("run", run).join(stats, "model").select("log_id", "model", "run", "ndcg", r6(m).alias("mean"), r6(m - s).alias("low1"), r6(m + s).alias("high1"), r6(m - 3 * s).alias("low3"), r6(m + 3 * s).alias("high3"))
+    return numbered_within(rows, "model", "log_id", "run").join(stats, "model").select("log_id", "model", "run", "ndcg", r6(m).alias("mean"), r6(m - s).alias("low1"), r6(m + s).alias("high1"), r6(m - 3 * s).alias("low3"), r6(m + 3 * s).alias("high3"))
 
 
 def _band(value: Column) -> Column:
@@ -177,7 +177,7 @@ def summary_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def convergence(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and deviation of the first n records of each model, for growing n."""
-    rows = records(spark, folder).where("ndcg is not null").withColumn("run", F.row_number().over(W.partitionBy("model").orderBy("log_id")))
+    rows = numbered_within(records(spark, folder).where("ndcg is not null"), "model", "log_id", "run")
     sizes = rows.withColumn("n", F.explode(F.array(*map(F.lit, (10, 30, 50, 100))))).where("run <= n")
     return sizes.groupBy("model", "n").agg(F.round(F.avg("ndcg"), 6).alias("mean"), F.round(F.stddev_pop("ndcg"), 6).alias("sd"), F.count("*").alias("records"))
 
