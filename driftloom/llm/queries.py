@@ -11,7 +11,7 @@ from driftloom.llm.mixing import mix, mix_report, mixing_rates, sized_documents
 from driftloom.llm.names import linked_spellings, resolve_names
 from driftloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from driftloom.llm.responses import find_defects
-from driftloom.llm.scans import find_noise, repair_texts
+from driftloom.llm.scans import find_noise, repair_fields
 from driftloom.llm.splitting import split_texts
 from driftloom.sources.tables import table
 
@@ -23,8 +23,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed texts as readable paragraphs."""
-    return repair_texts(table(spark, folder, "parsed"))
+    """Parsed and cleaned texts as readable paragraphs."""
+    return repair_fields(table(spark, folder, "parsed"), table(spark, folder, "cleaned"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

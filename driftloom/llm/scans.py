@@ -31,6 +31,8 @@ CONFUSIONS = (
     ("in", "m"), ("w", "vv"), ("li", "h"), ("1", "l"), ("0", "o"), ("5", "s"), ("1", "i"), ("q", "9"), ("z", "2"), ("b", "8"), ("n", "ri"), ("nn", "rm"),
 )
 CONFUSION_COST = 0.25
+#: Words of the longest line that is furniture as a whole.
+LONGEST_FURNITURE = 16
 _KNOWN = frozenset(CONFUSIONS)
 _PLAIN = {read: true for true, read in CONFUSIONS if not read.isalpha()}
 _MARKS = "-‐‑¬\u00ad–"
@@ -156,12 +158,17 @@ def _beside(k: int, previous: dict, following: dict, marks: set[int], title_at:
 
 
 def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
-    """For each line of a cleaned text the positions of its words that are furniture of the scan."""
+    """For each line of a cleaned text the positions of its words that are furniture of the scan.
+
+    A line in the form of furniture goes as a whole only if it is no longer than furniture can be:
+    a cleaned text may be one line, of which only the words of the scan's furniture go.
+    """
     spans: list[set[int]] = [set() for _ in lines]
     tokens = [(n, k, w) for n, line in enumerate(lines) for k, w in enumerate(line.split())]
     whole = furniture_lines(lines)
     for n in whole:
-        spans[n].update(range(len(lines[n].split())))
+        size = len(lines[n].split())
+        spans[n].update(range(size) if size <= LONGEST_FURNITURE else ())
     if not parsed or not tokens:
         return spans
     source = parsed.split("\n")
@@ -197,7 +204,9 @@ def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
 
 
 def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[tuple]:
-    """(line number, furniture, text, words, broken words, compounds) of each line.
+    """(line number, furniture, text, rest, words, broken words, compounds) of each line.
+
+    The rest is what furniture leaves of its line, null for a line without any.
 
     Words are those of the running text in lower case; the halves of broken words are not among
     them.  A broken word is (first half with what is before it, second half, mark).
@@ -207,7 +216,7 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
     lines = text.split("\n")
     if cleaned:
         spans = _spans_of(lines, parsed)
-        noise = {n for n, s in enumerate(spans) if s}
+        noise = {n for n, s in enumerate(spans) if s} | furniture_lines(lines)
         body = [" ".join(w for k, w in enumerate(line.split()) if k not in spans[n]) if spans[n] else line for n, line in enumerate(lines)]
     else:
         noise = furniture_lines(lines)
@@ -241,10 +250,11 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
             if m.start() not in halves and m.end() - 1 not in halves:
                 words.append(m[0].casefold().replace("’", "'"))
         compounds = [c.casefold().replace("‐", "-").replace("‑", "-") for c in _COMPOUND.findall(body[n])]
-        yield n + 1, n in noise, line, words, broken.get(n, []), compounds
+        rest = (line[: len(line) - len(line.lstrip())] + body[n] if body[n] else "") if n in noise else None
+        yield n + 1, n in noise, line, rest, words, broken.get(n, []), compounds
 
 
-_LINE = "field_name string, record_id bigint, line_no int, furniture boolean, line string, words array<string>, broken array<struct<first:string,second:string,mark:string>>, compounds array<string>"
+_LINE = "field_name string, record_id bigint, line_no int, furniture boolean, line string, rest string, words array<string>, broken array<struct<first:string,second:string,mark:string>>, compounds array<string>"
 
 
 def scan_lines(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
@@ -257,12 +267,12 @@ def scan_lines(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
         rows = rows.unionByName(own.join(sources, "parse_id", "left").select(F.lit("cleaned_text").alias("field_name"), "record_id", "text", "source"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["field_name", "record_id", "line_no", "furniture", "line", "words", "broken", "compounds"]
+        columns = ["field_name", "record_id", "line_no", "furniture", "line", "rest", "words", "broken", "compounds"]
         for frame in frames:
             out = []
             for field, record, text, source in frame.itertuples(index=False):
-                for no, noise, line, words, broken, compounds in read_lines(text, source, field != "text"):
-                    out.append((field, record, no, noise, line, words, [{"first": a, "second": b, "mark": c} for a, b, c in broken], compounds))
+                for no, noise, line, rest, words, broken, compounds in read_lines(text, source, field != "text"):
+                    out.append((field, record, no, noise, line, rest, words, [{"first": a, "second": b, "mark": c} for a, b, c in broken], compounds))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -389,9 +399,8 @@ def broken_words(lines: DataFrame) -> DataFrame:
     )
 
 
-def stamped_lines(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5) -> DataFrame:
-    """Lines that hold a stamp: one line of five words or more, without a full stop, that the same
-    way stands alone in at least a hundredth of all scans.  In cleaned texts it may stand inside."""
+def _stamped(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5) -> DataFrame:
+    """The lines that hold a stamp, each with the stamp; a line that holds several comes with each."""
     records = lines.where("field_name = 'text'").agg(F.count_distinct("record_id")).first()[0] or 0
     own = lines.where("field_name = 'text'").select("record_id", F.trim("line").alias("stamp"))
     plausible = own.where(F.col("stamp").rlike(rf"^[A-ZÀ-Þ](?:\S*\s+){{{words - 1},11}}\S*[^\s.,;:!?\d]$"))
@@ -400,8 +409,13 @@ def stamped_lines(lines: DataFrame, *, share: float = 0.01, least: int = 3, word
     # candidates share the first words with a stamp, so that this is a join on equal keys
     starts = F.array_distinct(F.regexp_extract_all("line", F.lit(rf"(?=([A-ZÀ-Þ]\S*(?:\s+\S+){{{words - 1}}}))\S+"), 1))
     candidates = lines.withColumn("start", F.explode(starts)).withColumn("start", F.regexp_replace("start", r"\s+", " "))
-    found = candidates.join(stamps, "start").where(F.col("line").contains(F.col("stamp")))
-    return found.select(*lines.columns).dropDuplicates(["field_name", "record_id", "line_no"])
+    return candidates.join(stamps, "start").where(F.col("line").contains(F.col("stamp"))).select(*lines.columns, "stamp")
+
+
+def stamped_lines(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5) -> DataFrame:
+    """Lines that hold a stamp: one line of five words or more, without a full stop, that the same
+    way stands alone in at least a hundredth of all scans.  In cleaned texts it may stand inside."""
+    return _stamped(lines, share=share, least=least, words=words).select(*lines.columns).dropDuplicates(["field_name", "record_id", "line_no"])
 
 
 def find_noise(parsed: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -421,12 +435,21 @@ def find_noise(parsed: DataFrame, cleaned: DataFrame) -> DataFrame:
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
 
 
+def _without(line: str, stamps: list[str]) -> str:
+    """A line without its stamps; one that is inside another goes with that."""
+    for stamp in sorted(stamps, key=len, reverse=True):
+        line = re.sub(rf"[^\S\n]*{r'\s+'.join(map(re.escape, stamp.split()))}", "", line)
+    return line
+
+
 def _rebuild(lines: list[tuple]) -> str:
-    """Paragraphs of one record from (line number, furniture, text, repairs, joins)."""
+    """Paragraphs of one record from (line number, text without furniture, stamps, repairs, joins)."""
     kept = []
-    for _, noise, line, repairs, joins in sorted(lines, key=lambda x: x[0]):
-        if noise:
-            continue
+    for _, line, stamps, repairs, joins in sorted(lines, key=lambda x: x[0]):
+        if stamps:
+            line = _without(line, stamps)
+            if not line.strip():
+                continue
         for wrong, right in repairs or ():
             line = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", lambda m, right=right: right.capitalize() if m[0][:1].isupper() else right, line, flags=re.IGNORECASE)
         kept.append((line.rstrip(), {(a, b) for a, b in joins or ()}))
@@ -453,20 +476,39 @@ def _rebuild(lines: list[tuple]) -> str:
     return "\n\n".join(out)
 
 
-def repair_texts(parsed: DataFrame) -> DataFrame:
-    """``(parse_id, text)``: parsed texts without furniture, broken and misread words, as paragraphs.
+def repair_fields(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
+    """``(field_name, record_id, text)``: the texts of both tables, named as in :func:`find_noise`,
+    without furniture, stamps, broken and misread words, as paragraphs.
 
-    Cases as in :func:`find_noise`; null and empty texts give no row.
+    Lines of furniture go; of a line that furniture or a stamp shares with other text only that
+    stays.  Cases as in :func:`find_noise`; null and empty texts give no row, a text of nothing but
+    furniture gives an empty one.
     """
-    lines = cut(scan_lines(parsed, None))
-    key = ["record_id", "line_no"]
-    repairs = misread_words(lines).groupBy(*key).agg(F.collect_set(F.struct("word", "repair")).alias("repairs"))
-    joins = broken_words(lines).groupBy(*key).agg(F.collect_set(F.struct("first", "second")).alias("joins"))
-    rows = lines.select(*key, "furniture", "line").join(repairs, key, "left").join(joins, key, "left")
-    texts = rows.groupBy("record_id").agg(F.collect_list(F.struct("line_no", "furniture", "line", "repairs", "joins")).alias("lines"))
+    lines = cut(scan_lines(parsed, cleaned))
+    key = ["field_name", "record_id", "line_no"]
+    none = F.lit(None).cast("string")
+    part = lambda df, kind, a, b=none: df.select(*key, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    left = lines.withColumn("left", F.coalesce("rest", "line"))
+    parts = part(left.where("not furniture or left <> ''"), "line", F.col("left"))
+    parts = parts.unionByName(part(lines.where("line_no = 1"), "text", none))
+    parts = parts.unionByName(part(_stamped(lines), "stamp", F.col("stamp")))
+    parts = parts.unionByName(part(misread_words(lines), "repair", F.col("word"), F.col("repair")))
+    parts = parts.unionByName(part(broken_words(lines), "join", F.col("first"), F.col("second")))
+    texts = parts.groupBy("field_name", "record_id").agg(F.collect_set(F.struct("line_no", "kind", "a", "b")).alias("parts"))
+
+    def rebuild(parts) -> str:
+        found: dict[int, dict[str, list]] = {}
+        for x in parts:
+            found.setdefault(x["line_no"], {}).setdefault(x["kind"], []).append((x["a"], x["b"]))
+        return _rebuild([(n, min(x["line"])[0], [a for a, _ in x.get("stamp", ())], sorted(x.get("repair", ())), sorted(x.get("join", ()))) for n, x in found.items() if "line" in x])
 
     @F.pandas_udf("string")
-    def rebuilt(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda rows: _rebuild([(r["line_no"], r["furniture"], r["line"], [tuple(x.values()) for x in r["repairs"]] if r["repairs"] is not None else [], [tuple(x.values()) for x in r["joins"]] if r["joins"] is not None else []) for r in rows]))
+    def rebuilt(parts: pd.Series) -> pd.Series:
+        return parts.map(rebuild)
+
+    return texts.select("field_name", "record_id", rebuilt("parts").alias("text"))
 
-    return texts.select(F.col("record_id").alias("parse_id"), rebuilt("lines").alias("text"))
+
+def repair_texts(parsed: DataFrame) -> DataFrame:
+    """``(parse_id, text)``: :func:`repair_fields` of parsed texts by themselves."""
+    return repair_fields(parsed, None).select(F.col("record_id").alias("parse_id"), "text")

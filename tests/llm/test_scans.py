@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from driftloom.llm.scans import find_noise, furniture_lines, repair_texts, scan_distance
+from driftloom.llm.scans import find_noise, furniture_lines, read_lines, repair_fields, repair_texts, scan_distance
 
 
 
@@ -82,6 +82,34 @@ def test_stamp(spark):
     assert found.where("field_name = 'text'").count() == 90 + 10
 
 
+def test_repair_of_both_fields(spark):
+    """No furniture and no stamp that find_noise reports is left in a text of either field."""
+    stamp = "Scanned copy, for internal use only"
+    rows = [(k, t + "\n" + stamp if k % 3 == 0 else t) for k, t in corpus()]
+    halves = NOISY.replace("mecha-\n", f"mecha-\n{stamp}\n").replace("12   44", f"rows {stamp} follow\n12   44")
+    cleaned = [(5007, 1000, f"Readers met the mecha- nism and the glacicr of the vocabulary,\nON FEDERAL GLACIERS AND THE VOCABULARY which was {stamp} well-known.\n{stamp}\nThe end."), (5008, 0, None), (5009, 0, stamp), (5010, 0, "")]
+    parsed, clean = frames(spark, [*rows, (1000, halves)], cleaned)
+    found = find_noise(parsed, clean).where("kind = 'furniture'").select("record_id", "field_name", "line_no").collect()
+    assert {(r.record_id, r.line_no) for r in found if r.field_name != "text"} == {(5007, 2), (5007, 3), (5009, 1)}
+    fixed = {(r.field_name, r.record_id): r.text for r in repair_fields(parsed, clean).collect()}
+    assert set(fixed) == {("text", k) for k, _ in [*rows, (1000, "")]} | {("cleaned_text", 5007), ("cleaned_text", 5009)}
+    assert not [t for t in fixed.values() if stamp in " ".join(t.split()) or "ON FEDERAL" in t or "Page " in t]
+    assert "Readers met the mechanism and the glacier of the vocabulary, which was well-known." in fixed["text", 1000] and "rows follow" in fixed["text", 1000]
+    assert fixed["cleaned_text", 5007] == "Readers met the mechanism and the glacier of the vocabulary, which was well-known. The end." and fixed["cleaned_text", 5009] == ""
+
+
+def test_cleaned_text_of_one_line():
+    """Of a long line only the furniture of its scan goes, not the prose."""
+    header = "ON FEDERAL GLACIERS | Notes on Ice, vol. 4"
+    prose = "Readers met the mechanism and the glacier of the vocabulary, which was well-known to the many compilers of the federal registries"
+    tail = "whose teachers had met neither a glacier nor any older vocabulary before the third exchange of the archive"
+    line = f"{prose} {header} {tail}"
+    ((_, noise, _, rest, words, _, _),) = read_lines(line, f"{prose}\n{header}\n{tail}", True)
+    assert noise and rest == f"{prose} {tail}" and words.count("vocabulary") == 2 and "ice" not in words
+    ((_, noise, _, rest, words, _, _),) = read_lines(line, None, True)
+    assert noise and rest == line and words.count("vocabulary") == 2
+
+
 def test_nothing(spark):
     assert find_noise(*frames(spark, [])).count() == 0
     assert find_noise(*frames(spark, [(1, None), (2, ""), (3, "\n\n"), (3, "\n\n"), (4, "x" * 300_000)])).count() == 0
