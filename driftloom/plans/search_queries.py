@@ -5,7 +5,7 @@ Queries are the vectors whose id is divisible by 50, against all usable vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftloom.functions import text as tx
 from driftloom.functions.vectors import band, temporal_modulation, valid_year
@@ -148,14 +148,25 @@ def citation_numbering(spark: SparkSession, folder: str) -> DataFrame:
     return op.citation_numbers(found, by_year=F.col("query_id") % 100 == 0).select("query_id", "vec_id", "position", "citation")
 
 
-def prompt_compose(spark: SparkSession, folder: str) -> DataFrame:
+def _prompts(spark: SparkSession, folder: str, text: Column) -> DataFrame:
     found = full_hits(spark, folder, 5).withColumn("source_file", F.coalesce("source_file", F.lit("unknown"))).withColumnRenamed("raw_rank", "rank")
     numbered = op.citation_numbers(found)
-    line = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.coalesce("title", F.lit("untitled")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit("): "), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    line = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.coalesce("title", F.lit("untitled")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit("): "), text)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
     return numbered.groupBy("query_id").agg(F.concat(F.lit("Context:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
+def prompt_compose(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts with the first 200 characters of each chunk, as in the SQL."""
+    return _prompts(spark, folder, F.substring(F.coalesce("text", F.lit("")), 1, 200))
+
+
+def prompt_compose_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts with the whole stripped text of each chunk, as the reference composes them."""
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    return _prompts(spark, folder, F.when(text == "", "[Empty chunk]").otherwise(text))
+
+
 _V = f"""v AS (SELECT vec_id, chunk_id, vector::DOUBLE[] AS vec FROM chunk_vectors
   WHERE vector IS NOT NULL AND len(vector) = {DIM} AND list_inner_product(vector::DOUBLE[], vector::DOUBLE[]) > 0)"""
 _CH = "ch AS (SELECT chunk_id, min(text) AS text, min(year) AS year, min(title) AS title, min(source_file) AS source_file FROM chunk GROUP BY chunk_id)"
@@ -249,6 +260,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_source_diverse, temporal_modulated_search, temporal_rerank_decades, must_include_blacklist, semantic_blend_rerank, dedupe_text_topk, greedy_diversity,
-        relevance_quartiles, exact_k_pad, intent_argmax, calibrate_bands, graded_relevance, ndcg_at_k, ndcg_k_sweep, intrinsic_topk_agg, decade_timeline, citation_numbering, prompt_compose,
+        relevance_quartiles, exact_k_pad, intent_argmax, calibrate_bands, graded_relevance, ndcg_at_k, ndcg_k_sweep, intrinsic_topk_agg, decade_timeline, citation_numbering, prompt_compose, prompt_compose_whole,
     )
 }
