@@ -46,7 +46,7 @@ def filename_year(name: Column) -> Column:
 
 def context_year(text: Column) -> Column:
     """Latest year that follows a word for publication."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?:published online|published|accepted|received|copyright|©)[^0-9\n]{{0,20}}([0-9]{{4}})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?:published online|published|accepted|received|copyright|©)[^0-9\n]{{0,20}}([0-9]{{4}})(?![0-9])"), F.lit(1))
     return F.array_max(F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: y.between(1800, CURRENT_YEAR + 1)))
 
 

@@ -104,6 +104,22 @@ def year_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("best", md.best_year((1, 100, F.col("stored")), (2, 60, F.col("by_date")), (3, 45, F.col("by_text")), (4, 30, F.col("by_name")), (5, 60, F.col("by_identifier"))))
 
 
+def year_candidates_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`year_candidates`, from whole texts, of which a year of publication comes first."""
+    rows = table(spark, folder, "documents")
+    found = rows.select(
+        "doc_id",
+        md.date_year(F.col("published_at").cast("string")).alias("by_date"),
+        md.context_year(F.coalesce("text", F.lit(""))).alias("by_context"),
+        F.array_max(F.filter(md.strict_years(F.col("text")), lambda y: md.valid_year(y).isNotNull())).alias("by_text"),
+        md.filename_year(F.col("source_file")).alias("by_name"),
+        md.arxiv_year(F.concat(F.lit("arxiv: "), F.lpad(F.pmod("doc_id", F.lit(100)).cast("string"), 2, "0"), F.lit("07.12345"))).alias("by_identifier"),
+        F.col("year").alias("stored"),
+    )
+    best = md.best_year((1, 100, F.col("stored")), (2, 60, F.col("by_date")), (3, 95, F.col("by_context")), (3, 45, F.col("by_text")), (4, 30, F.col("by_name")), (5, 60, F.col("by_identifier")))
+    return found.withColumn("best", best)
+
+
 def language_by_words(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", md.detect_language(F.col("text")).alias("language"))
 
@@ -212,7 +228,7 @@ SQL = {f"clean_{name}": f"WITH {_texts_sql(ADDED[name])} SELECT doc_id, {sql} AS
 QUERIES = {f"clean_{name}": _cleaner(name) for name in ADDED} | {
     f.__name__: f
     for f in (
-        clean_chain, toc_page_filter, block_body, adaptive_params, static_chunks, adaptive_chunks, title_checks, year_candidates, language_by_words, contents_text,
+        clean_chain, toc_page_filter, block_body, adaptive_params, static_chunks, adaptive_chunks, title_checks, year_candidates, year_candidates_whole, language_by_words, contents_text,
         metadata_left_join, latest_metadata, person_names, stable_chunk_ids, query_texts,
     )
 }
