@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where neither that nor a folder set
-    earlier exists (tests on one machine) a temporary one is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where neither that nor a folder set
+    earlier exists *and* everything runs on one machine a temporary one is made: on a cluster each
+    node would write to its own disk, so there a missing folder is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="driftloom-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
