@@ -4,13 +4,15 @@
 and by their sequence, headers by the title, by repetition with another number, and by the form of
 periodical titles.  *Broken words* are put together if the corpus writes the whole word without a
 hyphen.  *Misread words* are found by a symmetric-delete index over the corpus lexicon: words share
-a key if they are equal after dropping one letter, or two that stand together, from either; a
+a key if they are equal after dropping one letter, or two that stand together, from either, or once
+all confusable letters are written as one (so that several confusions in a word meet as well); a
 weighted edit distance in which only known confusions of scanned letters are cheap ranks the
 candidates together with their frequency and the bigrams that they form with both neighbours.
 
-Scale: documents are read once into one row per line, written to the checkpoint folder.  Words and
-bigrams are counted with partial aggregation; candidates are found among distinct words by a join
-on keys; occurrences are joined with the few suspect words only.
+Scale: documents are read once into one row per line, written to the checkpoint folder.  Words are
+counted with partial aggregation; candidates are found among distinct words by a join on keys;
+occurrences meet the suspect words only, and only bigrams that a candidate can form are counted.
+Sides of joins are broadcast behind a count of their rows and bytes, and shuffled beyond it.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from driftloom.plans.lineage import cut
+from driftloom.plans.sides import counted, shuffled
 from driftloom.plans.spread import spread
 
 # Fixed values: (true letters, letters read instead).
@@ -34,7 +38,14 @@ CONFUSION_COST = 0.25
 #: Words of the longest line that is furniture as a whole.
 LONGEST_FURNITURE = 16
 _KNOWN = frozenset(CONFUSIONS)
-_PLAIN = {read: true for true, read in CONFUSIONS if not read.isalpha()}
+_PLAIN = str.maketrans({read: true for true, read in CONFUSIONS if not read.isalpha()})
+#: Letters that are read for one another, written as one; then pairs of letters, on those.
+_ALIKE = str.maketrans({"c": "e", "@": "a", "0": "o", "5": "s", "f": "t", "l": "i", "1": "i", "!": "i", "9": "g", "q": "g", "2": "z", "b": "u", "h": "u", "6": "u", "8": "u"})
+_PAIRS_ALIKE = {"rn": "m", "in": "m", "ri": "n", "ii": "u", "ei": "d", "vv": "w", "rm": "nn"}
+_PAIR = re.compile("|".join(_PAIRS_ALIKE))
+#: Longer words share a key if their first or last so many letters are equal.
+_LONG = 40
+_HALF = 20
 _MARKS = "-‐‑¬\u00ad–"
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@!'’](?=[^\W_]))*")
 _COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
@@ -45,16 +56,19 @@ _MARK_PAGE = re.compile(r"^(?:(?:page|pages|p\.|seite|s\.|página|pág\.|pagina)
 _ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.IGNORECASE)
 _NUMBERS = re.compile(r"^\s*\d+(?:[.,]\d+)?(?:\s+\d+(?:[.,]\d+)?)*\s*$")
 _PERIODICAL = re.compile(r"^(?:\d+\s+)?(?:notes on|papers in|bulletin of|annals of|journal of|proceedings of|transactions of|studies in|archives of|review of)\s+\S+(?:\s+\S+){0,3}?\s*(?:studies|drift|records|semantics|history|science|sciences|letters|research)?\b", re.IGNORECASE)
-_ORDINAL = re.compile(r"^\d+(?:s|er|e|ers|th|st|nd|rd|ern|a|o|x|er|ème|eme|bis)?$|^[^\W\d_]\d{1,3}$")
+_LETTER = re.compile(r"[^\W\d_]")
+_NOT_SHAPE = re.compile(r"[^a-zà-ÿ]+")
+_DIGITS = re.compile(r"\d+")
+_ANY_SPACE = re.compile(r"\s{3}|\[")
 
 
 def undigit(word: str) -> str:
     """Digits and signs inside a word replaced by the letters that they are read for."""
-    return "".join(_PLAIN.get(c, c) for c in word) if any(c.isalpha() for c in word) else word
+    return word.translate(_PLAIN) if _LETTER.search(word) else word
 
 
 def _shape(line: str) -> str:
-    return re.sub(r"[^a-zà-ÿ]+", "", undigit(line.casefold()))
+    return _NOT_SHAPE.sub("", undigit(line.casefold()))
 
 
 def furniture_lines(lines: list[str]) -> set[int]:
@@ -98,35 +112,38 @@ def furniture_lines(lines: list[str]) -> set[int]:
     # headers
     title_at = _title_line(bare, filled, found)
     title = _shape(bare[title_at]) if title_at is not None else ""
-    masked = Counter(re.sub(r"\d+", "#", bare[k].casefold()) for k in filled)
-    shapes = Counter(_shape(bare[k]) for k in filled)
+    shape_of = {k: _shape(bare[k]) for k in filled}
+    masked = Counter(_DIGITS.sub("#", bare[k].casefold()) for k in filled)
+    shapes = Counter(shape_of.values())
     for k in filled:
         line = bare[k]
         if k in found or _NUMBERS.match(line):
             continue
-        plain = undigit(line.casefold())
-        numbered = re.match(r"^(?:\[\s*\w{1,5}\s*\]\s+)(.*)$", line) or re.match(r"^\w{1,5}\s{3,}(.*)$", line) or re.match(r"^(.*\S)\s{3,}\w{1,6}$", line)
+        # only a line with brackets or a wide gap can hold a number beside a header
+        numbered = None if not _ANY_SPACE.search(line) else re.match(r"^(?:\[\s*\w{1,5}\s*\]\s+)(.*)$", line) or re.match(r"^\w{1,5}\s{3,}(.*)$", line) or re.match(r"^(.*\S)\s{3,}\w{1,6}$", line)
         number = bool(numbered) and bool(re.search(r"^\W*[\dlIO]+\b|\b[\dlIO]+\W*$|^\W*[ivxlc]+\s{3}|\s{3}[ivxlc]+$", line))
-        rest = _shape(numbered[1]) if numbered else _shape(line)
+        rest = _shape(numbered[1]) if numbered else shape_of[k]
         ends_sentence = line.endswith((".", ";", ",")) and not re.search(r"vol\.$", line)
         of_title = len(rest) >= 8 and bool(title) and (title.startswith(rest) or _close_prefix(rest, title))
         if number and re.match(r"^(?:\[\s*\w+\s*\]|\S.*\s{3,}\w{1,6}$|\w{1,5}\s{3,}\S)", line) and not ends_sentence and (of_title or re.match(r"^\[?\s*[\dlIO]+\s*\]?\s{3,}|.*\s{3,}[\dlIO]+$", line) or shapes[rest] > 1 or masked[re.sub(r"\d+", "#", line.casefold())] > 1):
             found.add(k)
         elif " | " in line and not ends_sentence and not line.startswith("|"):
             found.add(k)
-        elif re.search(r"\s\.\s", line) and re.search(r"\s\.\s*[\dlIO]{1,5}$|^[\dlIO]{1,5}\s*\.\s", line):
+        elif " ." in line and re.search(r"\s\.\s", line) and re.search(r"\s\.\s*[\dlIO]{1,5}$|^[\dlIO]{1,5}\s*\.\s", line):
             found.add(k)
-        elif _PERIODICAL.match(plain) and not ends_sentence and len(line) <= 120 and len(line.split()) <= 14:
+        elif not ends_sentence and len(line) <= 120 and _PERIODICAL.match(undigit(line.casefold())) and len(line.split()) <= 14:
             found.add(k)
         elif of_title and k != title_at and not ends_sentence and len(rest) >= 12:
             found.add(k)
-        elif k != title_at and len(re.findall(r"[A-ZÀ-Þ]", line)) >= 5 and not re.search(r"[a-zà-ÿ]", line) and _beside(k, previous, following, found | set(singles), title_at):
+        elif k != title_at and not re.search(r"[a-zà-ÿ]", line) and len(re.findall(r"[A-ZÀ-Þ]", line)) >= 5 and _beside(k, previous, following, found | set(singles), title_at):
             found.add(k)
     return found
 
 
 def undigit_numbers(line: str) -> str:
     """Letters read for digits put right in a line that is a page mark otherwise."""
+    if not _DIGITS.search(line):
+        return line
     return re.sub(r"(?<![^\W\d_])[lIO\d]+(?![^\W\d_])", lambda m: m[0].replace("l", "1").replace("I", "1").replace("O", "0") if re.search(r"\d", m[0]) else m[0], line)
 
 
@@ -172,18 +189,30 @@ def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
     if not parsed or not tokens:
         return spans
     source = parsed.split("\n")
-    marks = sorted(furniture_lines(source))
+    marks = furniture_lines(source)
     words = [line.split() for line in source]
+    # the word of prose before and after each line
+    before_of: list[str | None] = []
+    after_of: list[str | None] = [None] * len(words)
+    last = None
+    for k, line_words in enumerate(words):
+        before_of.append(last)
+        if line_words and k not in marks:
+            last = line_words[-1]
+    last = None
+    for k in range(len(words) - 1, -1, -1):
+        after_of[k] = last
+        if words[k] and k not in marks:
+            last = words[k][0]
     at: dict[str, list[int]] = {}
     for position, (_, _, w) in enumerate(tokens):
         at.setdefault(w, []).append(position)
     used = 0
-    for k in marks:
+    for k in sorted(marks):
         wanted = words[k]
         if not wanted:
             continue
-        before = next((words[j][-1] for j in range(k - 1, -1, -1) if words[j] and j not in marks), None)
-        after = next((words[j][0] for j in range(k + 1, len(words)) if words[j] and j not in marks), None)
+        before, after = before_of[k], after_of[k]
         strict = len(wanted) <= 2
         for start in at.get(wanted[0], ()):
             if start < used or [t[2] for t in tokens[start : start + len(wanted)]] != wanted:
@@ -254,38 +283,79 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
         yield n + 1, n in noise, line, rest, words, broken.get(n, []), compounds
 
 
-_LINE = "field_name string, record_id bigint, line_no int, furniture boolean, line string, rest string, words array<string>, broken array<struct<first:string,second:string,mark:string>>, compounds array<string>"
+_COLUMNS = (
+    ("cleaned", "boolean", pa.bool_()), ("record_id", "bigint", pa.int64()), ("line_no", "int", pa.int32()), ("furniture", "boolean", pa.bool_()), ("edge", "boolean", pa.bool_()),
+    ("line", "string", pa.string()), ("rest", "string", pa.string()), ("words", "string", pa.string()), ("broken", "string", pa.string()), ("compounds", "string", pa.string()),
+)
+_KEY = ["cleaned", "record_id", "line_no"]
+#: Signs between broken words, and between their parts; no text of one line holds them as words.
+_NEXT, _PART = "\x1e", "\x1f"
+
+
+def _edges(rows: list[tuple]) -> list[bool]:
+    """Whether each line stands at an end of the text or beside furniture, blank lines aside."""
+    filled = [k for k, row in enumerate(rows) if row[2].strip()]
+    out = [False] * len(rows)
+    for at, k in enumerate(filled):
+        out[k] = at in (0, len(filled) - 1) or rows[filled[at - 1]][1] or rows[filled[at + 1]][1]
+    return out
 
 
 def scan_lines(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
-    """One row per line of both tables, see :func:`read_lines`."""
-    rows = parsed.select(F.lit("text").alias("field_name"), F.col("parse_id").cast("bigint").alias("record_id"), F.col("text").cast("string"), F.lit(None).cast("string").alias("source")).where("record_id is not null")
+    """One row per line of both tables, see :func:`read_lines`; words and halves as joined text."""
+    rows = parsed.select(F.lit(False).alias("cleaned"), F.col("parse_id").cast("bigint").alias("record_id"), F.col("text").cast("string"), F.lit(None).cast("string").alias("source")).where("record_id is not null")
     rows = spread(rows)
     if cleaned is not None:
         sources = parsed.groupBy(F.col("parse_id").cast("bigint").alias("parse_id")).agg(F.max(F.col("text").cast("string")).alias("source"))
         own = cleaned.select(F.col("clean_id").cast("bigint").alias("record_id"), F.col("parse_id").cast("bigint").alias("parse_id"), F.col("cleaned_text").cast("string").alias("text")).where("record_id is not null")
-        rows = rows.unionByName(own.join(sources, "parse_id", "left").select(F.lit("cleaned_text").alias("field_name"), "record_id", "text", "source"))
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["field_name", "record_id", "line_no", "furniture", "line", "rest", "words", "broken", "compounds"]
-        for frame in frames:
-            out = []
-            for field, record, text, source in frame.itertuples(index=False):
-                for no, noise, line, rest, words, broken, compounds in read_lines(text, source, field != "text"):
-                    out.append((field, record, no, noise, line, rest, words, [{"first": a, "second": b, "mark": c} for a, b, c in broken], compounds))
+        rows = rows.unionByName(own.join(shuffled(sources), "parse_id", "left").select(F.lit(True).alias("cleaned"), "record_id", "text", "source"))
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, c[2]) for x, c in zip(zip(*out), _COLUMNS)], [c[0] for c in _COLUMNS])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for is_cleaned, record, text, source in zip(*(column.to_pylist() for column in batch.columns)):
+                found = list(read_lines(text, source, is_cleaned))
+                edges = _edges(found) if not is_cleaned else [False] * len(found)
+                for edge, (no, noise, line, rest, words, broken, compounds) in zip(edges, found):
+                    out.append((is_cleaned, record, no, noise, edge, line, rest, " ".join(words), _NEXT.join(map(_PART.join, broken)), " ".join(compounds)))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=columns)
+                    yield batch_of(out)
                     out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield batch_of(out)
+
+    return rows.where("text is not null").mapInArrow(read, ", ".join(f"{name} {kind}" for name, kind, _ in _COLUMNS))
+
+
+def _words_of(column: str):
+    return F.filter(F.split(column, " "), lambda w: w != "")
 
-    return rows.where("text is not null").mapInPandas(read, _LINE)
+
+def lexicon_of(lines: DataFrame) -> DataFrame:
+    """``(word, n)`` of the running text, written once."""
+    return cut(lines.select(F.explode(_words_of("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def _folded(word: str) -> str:
+    """The word with letters that are read for one another written as one."""
+    word = word.translate(_ALIKE)
+    for _ in range(2):
+        word = _PAIR.sub(lambda m: _PAIRS_ALIKE[m[0]], word)
+    return word
 
 
 def delete_keys(word: str) -> set[str]:
-    """The word, less any letter, less any two letters that stand together; digits also as letters."""
-    keys = set()
+    """The word, less any letter, less any two letters that stand together; digits also as letters;
+    and the word with confusable letters written as one.  Of a very long word both ends instead of
+    its deletes: one change leaves one end whole."""
+    keys = {"~" + _folded(word)} if len(word) > 3 else set()
     for w in {word, undigit(word)}:
+        if len(w) > _LONG:
+            keys.update((w, "<" + w[:_HALF], ">" + w[-_HALF:]))
+            continue
         keys.add(w)
         if len(w) > 2:
             keys.update(w[:k] + w[k + 1 :] for k in range(len(w)))
@@ -326,14 +396,40 @@ def scan_distance(read: str, true: str) -> float:
     return best[n][m]
 
 
+def confusions_between(read: str, true: str, most: int) -> int | None:
+    """How many known confusions, and nothing else, make the read word of the true one; at most ``most``.
+
+    No confusion begins with the letter that it replaces, so equal letters always match.
+    """
+    k = 0
+    while k < min(len(true), len(read)) and true[k] == read[k]:
+        k += 1
+    true, read = true[k:], read[k:]
+    if not true and not read:
+        return 0
+    if not most or not true or not read or abs(len(true) - len(read)) > most:
+        return None
+    found = [n + 1 for a, b in CONFUSIONS if read.startswith(b) and true.startswith(a) and (n := confusions_between(read[len(b) :], true[len(a) :], most - 1)) is not None]
+    return min(found, default=None)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _delete_keys(word: pd.Series) -> pd.Series:
     return word.map(lambda w: sorted(delete_keys(w)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _scan_distance(read: pd.Series, true: pd.Series) -> pd.Series:
-    return pd.Series([scan_distance(a, b) for a, b in zip(read, true)], dtype=float)
+def _scan_distance(limit: float):
+    """Column function: the scan distance up to ``limit``, infinite above it."""
+
+    @F.pandas_udf(T.DoubleType())
+    def distance(read: pd.Series, true: pd.Series) -> pd.Series:
+        if limit >= 1:
+            return pd.Series([scan_distance(a, b) for a, b in zip(read, true)], dtype=float)
+        # below 1 only confusions are cheap enough
+        counts = (confusions_between(a, b, int(limit / CONFUSION_COST)) for a, b in zip(read, true))
+        return pd.Series([float("inf") if n is None else n * CONFUSION_COST for n in counts], dtype=float)
+
+    return distance
 
 
 def _mixed(word):
@@ -341,32 +437,34 @@ def _mixed(word):
     return word.rlike(r"[^\W\d_]") & word.rlike(r"[\d@!]") & ~word.rlike(r"^\d+(s|er|e|ers|th|st|nd|rd|ern|a|o|bis)?$") & ~word.rlike(r"^[a-zà-ÿ]\d{1,3}$")
 
 
-def misread_words(lines: DataFrame, *, ratio: float = 8.0, near_ratio: float = 3.0, limit: float = 0.8) -> DataFrame:
-    """``(field_name, record_id, line_no, word, repair)`` of every misread word occurrence.
+def misread_words(lines: DataFrame, lexicon: DataFrame | None = None, *, ratio: float = 8.0, near_ratio: float = 3.0, limit: float = 0.8) -> DataFrame:
+    """``(cleaned, record_id, line_no, word, repair)`` of every misread word occurrence.
 
     ``ratio``: a candidate must be so many times as frequent as the word; ``near_ratio`` where it
     also forms a known bigram with a neighbour.  A word that mixes letters and signs is misread
     even where no candidate is known (then ``repair`` only replaces the signs).
     """
-    words = lines.select("field_name", "record_id", "line_no", F.explode("words").alias("word"))
-    lexicon = cut(words.groupBy("word").agg(F.count("*").alias("n")))
-    keyed = lexicon.where(F.length("word").between(2, 40)).select("word", "n", F.explode(_delete_keys("word")).alias("key"))
+    lexicon = lexicon_of(lines) if lexicon is None else lexicon
+    keyed = lexicon.where(F.length("word") > 1).select("word", "n", F.explode(_delete_keys("word")).alias("key"))
     # only a frequent word can be a candidate, only one with a more frequent likeness a suspect
     true = keyed.where((F.col("n") >= 3) & ~_mixed(F.col("word"))).select("key", F.col("word").alias("true"), F.col("n").alias("true_n"))
-    suspects = keyed.select("key", "word", "n").join(true, "key").where((F.col("true_n") >= near_ratio * F.col("n")) & (F.col("word") != F.col("true")))
-    suspects = suspects.select("word", "n", "true", "true_n").distinct()
+    suspects = keyed.select("key", "word", "n").join(shuffled(true), "key").where((F.col("true_n") >= near_ratio * F.col("n")) & (F.col("word") != F.col("true")))
     # a number is no misreading of another number, a word with plain letters none of a number
     letters = r"[^\W\d_]"
-    suspects = suspects.where(F.col("word").rlike(letters) & (F.col("true").rlike(letters) | _mixed(F.col("word")))).withColumn("cost", _scan_distance("word", "true"))
+    suspects = suspects.where(F.col("word").rlike(letters) & (F.col("true").rlike(letters) | _mixed(F.col("word"))))
+    suspects = suspects.select("word", "n", "true", "true_n").distinct().withColumn("cost", _scan_distance(limit)("word", "true"))
     suspects = cut(suspects.where((F.col("cost") <= limit) & (F.col("cost") > 0)))
-    signs = lexicon.where(_mixed(F.col("word"))).select("word").withColumn("mixed", F.lit(True))
-    wanted = suspects.select("word").distinct().join(signs, "word", "full")
-    context = lines.select("field_name", "record_id", "line_no", F.posexplode("words").alias("k", "word"), "words").select(
-        "field_name", "record_id", "line_no", "word", F.expr("get(words, k - 1)").alias("left"), F.expr("get(words, k + 1)").alias("right")
-    )
-    seen = context.join(wanted, "word")
-    bigrams = lines.select(F.explode(F.expr("transform(slice(words, 1, greatest(size(words) - 1, 0)), (w, i) -> struct(w as a, words[i + 1] as b))")).alias("g")).groupBy("g.a", "g.b").agg(F.count("*").alias("times"))
-    tried = seen.join(suspects, "word", "left")
+    signs = lexicon.where(_mixed(F.col("word"))).select("word", F.lit(True).alias("mixed"))
+    wanted = cut(suspects.select("word").distinct().join(shuffled(signs), "word", "full"))
+    near = "transform(w, (x, i) -> struct(x as word, get(w, i - 1) as left, get(w, i + 1) as right))"
+    context = lines.select(*_KEY, _words_of("words").alias("w")).select(*_KEY, F.inline(F.expr(near)))
+    tried = cut(context.join(counted(wanted), "word").join(counted(suspects), "word", "left"))
+    # bigrams that a candidate forms with a neighbour, counted in the whole text
+    formed = tried.where("true is not null and left is not null").select(F.col("left").alias("a"), F.col("true").alias("b"))
+    formed = cut(formed.unionByName(tried.where("true is not null and right is not null").select(F.col("true").alias("a"), F.col("right").alias("b"))).distinct())
+    pairs = "transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> struct(x as a, w[i + 1] as b))"
+    bigrams = lines.select(_words_of("words").alias("w")).select(F.inline(F.expr(pairs))).join(counted(formed), ["a", "b"], "left_semi")
+    bigrams = counted(cut(bigrams.groupBy("a", "b").agg(F.count("*").alias("times"))))
     tried = tried.join(bigrams.select(F.col("a").alias("left"), F.col("b").alias("true"), F.col("times").alias("with_left")), ["left", "true"], "left")
     tried = tried.join(bigrams.select(F.col("a").alias("true"), F.col("b").alias("right"), F.col("times").alias("with_right")), ["true", "right"], "left")
     together = F.coalesce("with_left", F.lit(0)) + F.coalesce("with_right", F.lit(0))
@@ -374,48 +472,62 @@ def misread_words(lines: DataFrame, *, ratio: float = 8.0, near_ratio: float = 3
     known = (together > 0) & (F.length("word") > 3)
     mixed = F.coalesce("mixed", F.lit(False))
     tried = tried.withColumn("score", F.log("true_n") + 2 * F.log1p(together) - 4 * F.col("cost")).where(mixed | (F.col("true").isNotNull() & (frequent | known)))
-    best = tried.groupBy("field_name", "record_id", "line_no", "word").agg(F.max_by("true", F.struct("score", "true")).alias("repair"))
+    best = tried.groupBy(*_KEY, "word").agg(F.max_by("true", F.struct("score", "true")).alias("repair"))
     plain = F.translate("word", "0156!@9", "olsbiag")
     return best.withColumn("repair", F.coalesce("repair", plain))
 
 
-def broken_words(lines: DataFrame) -> DataFrame:
-    """``(field_name, record_id, line_no, first, second, mark, joined)`` of words that only the layout broke."""
-    pieces = lines.select("field_name", "record_id", "line_no", F.explode("broken").alias("b")).select("field_name", "record_id", "line_no", "b.*")
-    head = F.regexp_extract("first", r"([^-‐‑]*)$", 1)
+def broken_words(lines: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``(cleaned, record_id, line_no, first, second, mark, joined)`` of words that only the layout broke.
+
+    What is decided depends on the halves and their mark alone: all forms of each distinct pair
+    meet the counts in one join.
+    """
+    lexicon = lexicon_of(lines) if lexicon is None else lexicon
+    part = lambda k: F.get(F.split("b", _PART), F.lit(k))
+    pieces = lines.where("broken <> ''").select(*_KEY, F.explode(F.split("broken", _NEXT)).alias("b")).select(*_KEY, F.translate(part(0), "‐‑", "--").alias("first"), part(1).alias("second"), part(2).alias("mark"))
     undone = lambda c: F.when(c.rlike(r"[a-zà-ÿ]"), F.translate(c, "0156!@9", "olsbiag")).otherwise(c)
-    pieces = pieces.withColumn("first", F.translate("first", "‐‑", "--")).withColumn("joined", undone(F.concat(head, "second")))
-    pieces = pieces.withColumn("whole", undone(F.concat("first", "second"))).withColumn("dashed", F.concat_ws("-", "first", "second")).withColumn("head", head)
-    counts = lines.select(F.explode("words").alias("w")).unionByName(lines.select(F.explode("compounds").alias("w")).where("w like '%-%'")).groupBy("w").agg(F.count("*").alias("n"))
-    for name in ("joined", "whole", "dashed", "head", "second"):
-        pieces = pieces.join(counts.select(F.col("w").alias(name), F.col("n").alias(f"{name}_n")), name, "left")
-    n = lambda name: F.coalesce(f"{name}_n", F.lit(0))
+    head = F.regexp_extract("first", r"([^-‐‑]*)$", 1)
+    forms = {"joined": undone(F.concat(head, "second")), "whole": undone(F.concat("first", "second")), "dashed": F.concat_ws("-", "first", "second"), "head": head, "second": F.col("second")}
+    halves = pieces.select("first", "second", "mark").distinct()
+    melted = halves.select("first", "second", "mark", F.explode(F.array(*(F.struct(F.lit(name).alias("form"), c.alias("word")) for name, c in forms.items()))).alias("f")).select("first", "second", "mark", "f.*")
+    compounds = lines.where("compounds <> ''").select(F.explode(_words_of("compounds")).alias("word")).where("word like '%-%'").groupBy("word").agg(F.count("*").alias("n"))
+    counts = lexicon.unionByName(compounds)  # words hold no hyphens
+    seen = melted.join(shuffled(counts), "word", "left").groupBy("first", "second", "mark").agg(*(F.coalesce(F.max(F.when(F.col("form") == name, F.col("n"))), F.lit(0)).alias(name) for name in forms if name != "second"), F.coalesce(F.max(F.when(F.col("form") == "second", F.col("n"))), F.lit(0)).alias("second_n"))
+    n = lambda name: F.col("second_n" if name == "second" else name)
     written = F.greatest(n("joined"), n("whole"))
     # neither form known: a sign that only layout uses, or a half that is no word by itself
     unknown = (written == 0) & (n("dashed") == 0) & (F.col("mark").isin("‐", "¬", "\u00ad") | (F.least(n("head"), n("second")) == 0)) & F.col("second").rlike(r"^[a-zà-ÿ]")
-    digits = F.col("head").rlike(r"^\d*$") | F.col("second").rlike(r"^\d")
-    return pieces.where(~digits & ((written > n("dashed")) | ((F.col("mark") != "-") & (F.col("mark") != "–") & (written >= n("dashed")) & (written > 0)) | unknown)).select(
-        "field_name", "record_id", "line_no", "first", "second", "mark", "joined"
-    )
+    digits = head.rlike(r"^\d*$") | F.col("second").rlike(r"^\d")
+    layout = seen.where(~digits & ((written > n("dashed")) | ((F.col("mark") != "-") & (F.col("mark") != "–") & (written >= n("dashed")) & (written > 0)) | unknown))
+    # a half that was misread is put right with the whole word
+    whole = F.when(n("whole") > n("joined"), forms["whole"]).otherwise(F.concat(F.regexp_extract("first", r"^(.*?)[^-‐‑]*$", 1), forms["joined"]))
+    return pieces.join(shuffled(layout.select("first", "second", "mark", whole.alias("joined"))), ["first", "second", "mark"]).select(*_KEY, "first", "second", "mark", "joined")
 
 
-def _stamped(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5) -> DataFrame:
+def _stamped(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5, edge_least: int = 20) -> DataFrame:
     """The lines that hold a stamp, each with the stamp; a line that holds several comes with each."""
-    records = lines.where("field_name = 'text'").agg(F.count_distinct("record_id")).first()[0] or 0
-    own = lines.where("field_name = 'text'").select("record_id", F.trim("line").alias("stamp"))
-    plausible = own.where(F.col("stamp").rlike(rf"^[A-ZÀ-Þ](?:\S*\s+){{{words - 1},11}}\S*[^\s.,;:!?\d]$"))
-    stamps = plausible.groupBy("stamp").agg(F.count_distinct("record_id").alias("n")).where(F.col("n") >= max(least, share * records)).select("stamp")
-    stamps = stamps.withColumn("start", F.expr(f"array_join(slice(split(stamp, '\\\\s+'), 1, {words}), ' ')"))
+    own = lines.where("not cleaned")
+    records = own.agg(F.count_distinct("record_id")).first()[0] or 0
+    plausible = own.select("record_id", "edge", F.trim("line").alias("stamp")).where(F.col("stamp").rlike(rf"^[A-ZÀ-Þ](?:\S*\s+){{{words - 1},11}}\S*[^\s.,;:!?\d]$"))
+    stamps = plausible.groupBy("stamp", "record_id").agg(F.max("edge").alias("edge")).groupBy("stamp").agg(F.count("*").alias("n"), F.count_if("edge").alias("edges"))
+    stamps = stamps.where((F.col("n") >= max(least, share * records)) | ((F.col("n") >= edge_least) & (F.col("edges") * 2 >= F.col("n")))).select("stamp")
+    stamps = cut(stamps.withColumn("start", F.expr(f"array_join(slice(split(stamp, '\\\\s+'), 1, {words}), ' ')")))
     # candidates share the first words with a stamp, so that this is a join on equal keys
     starts = F.array_distinct(F.regexp_extract_all("line", F.lit(rf"(?=([A-ZÀ-Þ]\S*(?:\s+\S+){{{words - 1}}}))\S+"), 1))
-    candidates = lines.withColumn("start", F.explode(starts)).withColumn("start", F.regexp_replace("start", r"\s+", " "))
-    return candidates.join(stamps, "start").where(F.col("line").contains(F.col("stamp"))).select(*lines.columns, "stamp")
+    candidates = lines.select(*_KEY, "line", F.explode(starts).alias("start")).withColumn("start", F.regexp_replace("start", r"\s+", " "))
+    return candidates.join(counted(stamps), "start").where(F.col("line").contains(F.col("stamp"))).select(*_KEY, "stamp")
 
 
-def stamped_lines(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5) -> DataFrame:
+def stamped_lines(lines: DataFrame, *, share: float = 0.01, least: int = 3, words: int = 5, edge_least: int = 20) -> DataFrame:
     """Lines that hold a stamp: one line of five words or more, without a full stop, that the same
-    way stands alone in at least a hundredth of all scans.  In cleaned texts it may stand inside."""
-    return _stamped(lines, share=share, least=least, words=words).select(*lines.columns).dropDuplicates(["field_name", "record_id", "line_no"])
+    way stands alone in at least a hundredth of all scans, or in ``edge_least`` scans, most times at
+    an end of the text or beside other furniture.  In cleaned texts it may stand inside."""
+    return _stamped(lines, share=share, least=least, words=words, edge_least=edge_least).select(*_KEY).distinct()
+
+
+def _field():
+    return F.when(F.col("cleaned"), F.lit("cleaned_text")).otherwise(F.lit("text")).alias("field_name")
 
 
 def find_noise(parsed: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -426,13 +538,13 @@ def find_noise(parsed: DataFrame, cleaned: DataFrame) -> DataFrame:
     repeated records count once; further columns are ignored; empty tables give an empty result.
     """
     lines = cut(scan_lines(parsed, cleaned))
-    key = ["record_id", "field_name", "line_no"]
+    lexicon = lexicon_of(lines)
     kinds = [
-        lines.where("furniture").unionByName(stamped_lines(lines)).select(*key, F.lit("furniture").alias("kind")),
-        broken_words(lines).select(*key, F.lit("hyphen").alias("kind")),
-        misread_words(lines).select(*key, F.lit("misread").alias("kind")),
+        lines.where("furniture").select(*_KEY).unionByName(stamped_lines(lines)).select(*_KEY, F.lit("furniture").alias("kind")),
+        broken_words(lines, lexicon).select(*_KEY, F.lit("hyphen").alias("kind")),
+        misread_words(lines, lexicon).select(*_KEY, F.lit("misread").alias("kind")),
     ]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct().select("record_id", _field(), "line_no", "kind")
 
 
 def _without(line: str, stamps: list[str]) -> str:
@@ -442,6 +554,11 @@ def _without(line: str, stamps: list[str]) -> str:
     return line
 
 
+def _like(word: str, shown: str) -> str:
+    """``word`` with the case of what stands in its place."""
+    return word.capitalize() if shown[:1].isupper() and shown[1:] == shown[1:].lower() else word.upper() if shown.isupper() and len(shown) > 1 else word
+
+
 def _rebuild(lines: list[tuple]) -> str:
     """Paragraphs of one record from (line number, text without furniture, stamps, repairs, joins)."""
     kept = []
@@ -452,8 +569,8 @@ def _rebuild(lines: list[tuple]) -> str:
                 continue
         for wrong, right in repairs or ():
             line = re.sub(rf"(?<!\w){re.escape(wrong)}(?!\w)", lambda m, right=right: right.capitalize() if m[0][:1].isupper() else right, line, flags=re.IGNORECASE)
-        kept.append((line.rstrip(), {(a, b) for a, b in joins or ()}))
-    out, current, gap, pending = [], "", False, False
+        kept.append((line.rstrip(), {(a, b): whole for a, b, whole in joins or ()}))
+    out, current, gap, pending = [], "", False, {}
     for line, joins in kept:
         if not line.strip():
             gap = True
@@ -464,13 +581,21 @@ def _rebuild(lines: list[tuple]) -> str:
             current = ""
         gap = False
         text = line.strip()
-        for first, second in joins:
-            text = re.sub(rf"({re.escape(first)})[{_MARKS}]\s+({re.escape(second)})", r"\1\2", text, flags=re.IGNORECASE)
-        if current and current[-1:] in _MARKS and pending and re.match(r"\W*(\w+)", text):
-            current = current[:-1] + text
+        for (first, second), whole in joins.items():
+            text = re.sub(rf"{re.escape(first)}[{_MARKS}]\s+{re.escape(second)}", lambda m, whole=whole: _like(whole, m[0].split()[0].rstrip(_MARKS)), text, flags=re.IGNORECASE)
+        begun = re.match(r"\W*?((?:[^\W_]|[@!](?=\w))+)", text)
+        if current and current[-1:] in _MARKS and pending and begun:
+            bare = current.rstrip(_MARKS + " ")
+            halves = [(first, whole) for (first, second), whole in pending.items() if second == begun[1].casefold() and bare.casefold().endswith(first)]
+            if halves:  # the whole word in place of both halves
+                first, whole = max(halves, key=lambda h: len(h[0]))
+                current = bare[: len(bare) - len(first)] + _like(whole, bare[len(bare) - len(first) :]) + text[begun.end() :]
+            else:
+                current = current[:-1] + text
         else:
             current = f"{current} {text}".strip() if not (current and current[-1:] == "-") else current + text
-        pending = any(text.casefold().rstrip(_MARKS + " ").endswith(first) for first, _ in joins)
+        tail = text.casefold().rstrip(_MARKS + " ")
+        pending = {halves: whole for halves, whole in joins.items() if tail.replace("‐", "-").replace("‑", "-").endswith(halves[0])}
     if current:
         out.append(current)
     return "\n\n".join(out)
@@ -485,28 +610,28 @@ def repair_fields(parsed: DataFrame, cleaned: DataFrame | None) -> DataFrame:
     furniture gives an empty one.
     """
     lines = cut(scan_lines(parsed, cleaned))
-    key = ["field_name", "record_id", "line_no"]
+    lexicon = lexicon_of(lines)
     none = F.lit(None).cast("string")
-    part = lambda df, kind, a, b=none: df.select(*key, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    part = lambda df, kind, a, b=none, c=none: df.select(*_KEY, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
     left = lines.withColumn("left", F.coalesce("rest", "line"))
     parts = part(left.where("not furniture or left <> ''"), "line", F.col("left"))
     parts = parts.unionByName(part(lines.where("line_no = 1"), "text", none))
     parts = parts.unionByName(part(_stamped(lines), "stamp", F.col("stamp")))
-    parts = parts.unionByName(part(misread_words(lines), "repair", F.col("word"), F.col("repair")))
-    parts = parts.unionByName(part(broken_words(lines), "join", F.col("first"), F.col("second")))
-    texts = parts.groupBy("field_name", "record_id").agg(F.collect_set(F.struct("line_no", "kind", "a", "b")).alias("parts"))
+    parts = parts.unionByName(part(misread_words(lines, lexicon), "repair", F.col("word"), F.col("repair")))
+    parts = parts.unionByName(part(broken_words(lines, lexicon), "join", F.col("first"), F.col("second"), F.col("joined")))
+    texts = parts.groupBy("cleaned", "record_id").agg(F.collect_set(F.struct("line_no", "kind", "a", "b", "c")).alias("parts"))
 
     def rebuild(parts) -> str:
         found: dict[int, dict[str, list]] = {}
         for x in parts:
-            found.setdefault(x["line_no"], {}).setdefault(x["kind"], []).append((x["a"], x["b"]))
-        return _rebuild([(n, min(x["line"])[0], [a for a, _ in x.get("stamp", ())], sorted(x.get("repair", ())), sorted(x.get("join", ()))) for n, x in found.items() if "line" in x])
+            found.setdefault(x["line_no"], {}).setdefault(x["kind"], []).append((x["a"], x["b"], x["c"]))
+        return _rebuild([(n, min(x["line"])[0], [stamp[0] for stamp in x.get("stamp", ())], sorted(r[:2] for r in x.get("repair", ())), sorted(x.get("join", ()))) for n, x in found.items() if "line" in x])
 
     @F.pandas_udf("string")
     def rebuilt(parts: pd.Series) -> pd.Series:
         return parts.map(rebuild)
 
-    return texts.select("field_name", "record_id", rebuilt("parts").alias("text"))
+    return texts.select(_field(), "record_id", rebuilt("parts").alias("text"))
 
 
 def repair_texts(parsed: DataFrame) -> DataFrame:
