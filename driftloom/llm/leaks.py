@@ -1,17 +1,17 @@
 """Held-out test passages inside training documents (problem 6).
 
-Pigeonhole matching with edits, on words: inside a stretch whose changed or dropped words lie at
-least ``gap`` words apart, at least one run of ``gap - 1`` words is untouched.  Every such run of
-every passage is a *piece*; a document can only leak an item if it contains one of the item's
-pieces exactly.  A piece hit is grown to the longest stretch whose errors keep that distance, and
-the stretch is verified with Myers' bit-parallel edit distance over words.
+Pigeonhole edit matching, on words.  The smallest reportable stretch of an item has a share of its
+words; single changed or dropped words lie at least ``gap`` words apart, which gives the stretch an
+error budget of its own.  The item is cut into disjoint pieces so short that every such stretch
+holds budget-plus-one whole pieces: one of them must stand in the document unchanged.  A piece hit
+is grown to the longest stretch around it whose errors keep their distance; if that is long enough,
+Myers' bit-parallel edit distance decides: the stretch counts only within its own error budget.
 
 Letter case, punctuation, white space, markup, soft hyphens and character forms (compatibility
 forms, ligatures, accents) are removed before words are compared.
 
-Scale: the documents are read once for each block of test items and never shuffled; a block of
-items is broadcast, and its size is bounded by ``block_chars`` characters of passages however many
-items there are.
+Scale: the documents are read once and never shuffled.  The items' pieces are broadcast in blocks of
+at most ``block_chars`` characters of passages; only beyond that bound a further scan follows.
 """
 
 from __future__ import annotations
@@ -77,87 +77,91 @@ def myers_distance(a: list, b: list) -> int:
     return score
 
 
-#: How a changed, dropped or added word may shift item and document: words skipped on either side.
-_STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (3, 3), (3, 2), (2, 3))
+def budget_of(words: int, gap: int) -> int:
+    """Most single changed or dropped words, ``gap`` apart and none at an end, in so many words."""
+    return (words - 3) // gap + 1 if words >= 3 else 0
 
 
-def _grow(item, doc, i: int, j: int, step: int, run: int, gap: int) -> tuple[int, int, int]:
-    """Ends (exclusive, in walking direction) of the stretch grown from ``i, j``; and its errors.
+def piece_size(least: int, gap: int) -> int:
+    """Words of a piece: every stretch of ``least`` words holds budget-plus-one whole pieces."""
+    return max(1, (least + 1) // (budget_of(least, gap) + 2))
 
-    ``run``: words already matched on the other side of the start, so that the first error may
-    follow at once where the run is long enough.
+
+#: How one changed, dropped or added word may shift item and document: words skipped on either side
+#: (a changed word may have been written as two or three, or the other way round).
+_STEPS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3))
+
+
+def _grow(item: list, doc: list, i: int, j: int, step: int, run: int, gap: int) -> tuple[int, int, int | None]:
+    """Ends (exclusive, in walking direction) of the stretch grown from ``i, j``, and how many words
+    match before its first error (None without any).
+
+    ``run``: matching words behind the start, up to the last error there.
     """
-    n, m, errors = len(item), len(doc), 0
+    n, m, first = len(item), len(doc), None
 
     def matched(i: int, j: int) -> int:
         k = 0
-        while 0 <= i + k * step < n and 0 <= j + k * step < m and item[i + k * step] == doc[j + k * step]:
-            k += 1
+        while 0 <= i < n and 0 <= j < m and item[i] == doc[j]:
+            k, i, j = k + 1, i + step, j + step
         return k
 
     k = matched(i, j)
-    i, j, run = i + k * step, j + k * step, run + k
+    i, j, run, before = i + k * step, j + k * step, run + k, k
     while 0 <= i < n and 0 <= j < m and run >= gap - 1:
-        best = max(((matched(i + di * step, j + dj * step), -di - dj, di, dj) for di, dj in _STEPS), default=(0,))
-        if best[0] < 2:
+        k, _, di, dj = max((matched(i + di * step, j + dj * step), -di - dj, di, dj) for di, dj in _STEPS)
+        if k < 2:  # one common word after a gap is chance
             break
-        k, _, di, dj = best
-        errors += 1
+        first = before if first is None else first
         i, j, run = i + (di + k) * step, j + (dj + k) * step, k
-    return i, j, errors
+    return i, j, first
 
 
 def longest_stretch(item: list, doc: list, i: int, j: int, size: int, gap: int) -> tuple[int, int, int, int]:
-    """Item and document bounds of the stretch around the piece hit ``item[i:i+size] == doc[j:j+size]``."""
-    right_i, right_j, errors_right = _grow(item, doc, i + size, j + size, 1, size, gap)
-    left_i, left_j, errors_left = _grow(item, doc, i - 1, j - 1, -1, size, gap)
-    a, b, c, d = left_i + 1, right_i, left_j + 1, right_j
-    if myers_distance(item[a:b], doc[c:d]) > 3 * (errors_left + errors_right):
-        return i, i + size, j, j + size
-    return a, b, c, d
+    """Item and document bounds of the longest stretch around the piece hit
+    ``item[i:i+size] == doc[j:j+size]``; errors on both sides keep their distance over the piece too."""
+    # one side grows freely, the other knows how far away that side's first error is
+    right, right_j, first = _grow(item, doc, i + size, j + size, 1, gap, gap)
+    left, left_j, first_left = _grow(item, doc, i - 1, j - 1, -1, gap if first is None else size + first, gap)
+    found = (left + 1, right, left_j + 1, right_j)
+    if first is not None and first_left is None:
+        left, left_j, first_left = _grow(item, doc, i - 1, j - 1, -1, gap, gap)
+        if first_left is not None:
+            right, right_j, _ = _grow(item, doc, i + size, j + size, 1, size + first_left, gap)
+            if right - left - 1 > found[1] - found[0]:
+                found = (left + 1, right, left_j + 1, right_j)
+    return found
 
 
 class _Index:
-    """Pieces of a block of items: sorted hashes with their item and offset."""
+    """Pieces of a block of items: for each piece size sorted hashes with their item and offset."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, gap: int):
-        self.size, self.gap, self.share = max(1, gap - 1), gap, share
+        self.gap = gap
         self.vocabulary: dict[str, int] = {}
-        self.items: list[list[int]] = []
         self.ids: list[int] = []
-        hashes, owners, offsets = [], [], []
+        self.items: list[np.ndarray] = []
+        self.least: list[int] = []
+        by_size: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
         for item_id, passage in items:
             found = words_of(passage)
             if not found:
                 continue
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found]
-            size = min(self.size, len(codes))
-            if size < self.size:  # shorter than a piece: padded with a code that no document has
-                codes_for_hash = np.array(codes + [0] * (self.size - size))
-            else:
-                codes_for_hash = np.array(codes)
-            h = self.hash(codes_for_hash)
-            hashes.append(h)
-            owners.append(np.full(len(h), len(self.items)))
-            offsets.append(np.arange(len(h)))
+            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int32)
+            least = max(1, int(np.ceil(share * len(codes) - 1e-9)))
+            size = piece_size(least, gap)
+            offsets = np.arange(0, len(codes) - size + 1, size)
+            by_size.setdefault(size, []).append((_hashes(codes, size)[offsets], len(self.items), offsets))
             self.items.append(codes)
             self.ids.append(item_id)
-        if hashes:
-            h, o, p = map(np.concatenate, (hashes, owners, offsets))
+            self.least.append(least)
+        self.pieces = {}
+        for size, parts in by_size.items():
+            h = np.concatenate([p[0] for p in parts])
+            owner = np.concatenate([np.full(len(p[0]), p[1], np.int32) for p in parts])
+            offset = np.concatenate([p[2] for p in parts]).astype(np.int32)
             order = np.argsort(h, kind="stable")
-            self.hashes, self.owners, self.offsets = h[order], o[order], p[order]
-        else:
-            self.hashes = np.empty(0, np.uint64)
-
-    def hash(self, codes: np.ndarray) -> np.ndarray:
-        n = len(codes) - self.size + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        c, h = codes.astype(np.uint64), np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(self.size):
-                h = h * _BASE + c[k : k + n]
-        return h
+            self.pieces[size] = h[order], owner[order], offset[order]
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text number, item number, item bounds, document bounds) of every leaked item."""
@@ -168,35 +172,49 @@ class _Index:
             codes.append(0)
             bounds.append(len(codes))
         flat = np.array(codes, np.int64)
-        h = self.hash(flat)
-        if not len(h) or not len(self.hashes):
-            return
-        known = np.concatenate(([0], np.cumsum(flat == 0)))
-        whole = np.flatnonzero(known[self.size :] == known[: -self.size])  # no unknown word, no border
-        lo = np.searchsorted(self.hashes, h[whole], "left")
-        hit = np.flatnonzero((lo < len(self.hashes)) & (self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h[whole]))
-        if not len(hit):
-            return
-        bounds_array = np.array(bounds)
-        docs = np.searchsorted(bounds_array, whole[hit], "right") - 1
-        current, doc, seen, reported = -1, [], {}, set()
-        for position, at, k in zip(whole[hit].tolist(), lo[hit].tolist(), docs.tolist()):
-            if k != current:
-                current, doc, seen, reported = k, codes[bounds[k] : bounds[k + 1] - 1], {}, set()
-            j = position - bounds[k]
-            while at < len(self.hashes) and self.hashes[at] == h[position]:
-                owner, i = int(self.owners[at]), int(self.offsets[at])
-                at += 1
-                if owner in reported or seen.get((owner, j - i), -1) >= j:
-                    continue
-                item = self.items[owner]
-                if item[i : i + self.size] != doc[j : j + self.size]:
-                    continue
-                a, b, c, d = longest_stretch(item, doc, i, j, self.size, self.gap)
-                seen[(owner, j - i)] = j + self.size - 1 if d <= j + self.size else d - self.size
-                if b - a >= self.share * len(item) - 1e-9:
-                    reported.add(owner)
-                    yield k, owner, a, b, c, d
+        unknown = np.concatenate(([0], np.cumsum(flat == 0)))
+        starts = np.array(bounds)
+        reported: set[tuple[int, int]] = set()
+        tried: dict[tuple[int, int, int], int] = {}
+        doc_at, doc, items = -1, [], {}
+        for size, (hashes, owners, offsets) in self.pieces.items():
+            h = _hashes(flat, size)
+            whole = np.flatnonzero(unknown[size:] == unknown[: len(unknown) - size]) if len(h) else h  # no unknown word, no border
+            lo = np.searchsorted(hashes, h[whole], "left") if len(whole) else whole
+            hit = np.flatnonzero((lo < len(hashes)) & (hashes[np.minimum(lo, len(hashes) - 1)] == h[whole])) if len(whole) else whole
+            texts_of = np.searchsorted(starts, whole[hit], "right") - 1 if len(hit) else hit
+            for position, at, k in zip(whole[hit].tolist(), lo[hit].tolist(), texts_of.tolist()):
+                if k != doc_at:
+                    doc_at, doc = k, codes[bounds[k] : bounds[k + 1] - 1]
+                j, value = position - bounds[k], h[position]
+                while at < len(hashes) and hashes[at] == value:
+                    owner, i = int(owners[at]), int(offsets[at])
+                    at += 1
+                    # pieces of one diagonal up to the end of a stretch already measured tell nothing new
+                    if (k, owner) in reported or tried.get((k, owner, j - i), -1) >= i:
+                        continue
+                    item = items.get(owner)
+                    if item is None:
+                        item = items[owner] = self.items[owner].tolist()
+                    if item[i : i + size] != doc[j : j + size]:
+                        continue
+                    a, b, c, d = longest_stretch(item, doc, i, j, size, self.gap)
+                    tried[(k, owner, j - i)] = max(i, b - size)
+                    # a changed word may have been written as up to three
+                    if b - a >= self.least[owner] and myers_distance(item[a:b], doc[c:d]) <= 3 * budget_of(b - a, self.gap):
+                        reported.add((k, owner))
+                        yield k, owner, a, b, c, d
+
+
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    c, h = codes.astype(np.uint64), np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h = h * _BASE + c[k : k + n]
+    return h
 
 
 def find_leaks(
@@ -209,14 +227,14 @@ def find_leaks(
     passage: str = "passage",
     share: float = 0.4,
     gap: int = 9,
-    block_chars: int = 4_000_000,
+    block_chars: int = 32_000_000,
 ) -> DataFrame:
     """``(doc_id, item_id, first_word, last_word, covered, item_words)`` of every leaked test item.
 
     A document leaks an item if one stretch of it holds at least ``share`` of the passage's words,
-    single changed or dropped words at least ``gap`` words apart allowed.  Defined cases: null and
-    empty texts or passages leak nothing; passages shorter than ``gap - 1`` words take no part
-    (no untouched run identifies them); repeated document rows give a row each; further columns of
+    single changed or dropped words at least ``gap`` words apart allowed.  Items of any length take
+    part: their pieces shorten with their budget, down to single words.  Defined cases: null and
+    empty texts or passages leak nothing; repeated document rows give a row each; further columns of
     either table are ignored; empty tables give an empty result.
     """
     spark = documents.sparkSession

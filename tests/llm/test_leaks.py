@@ -1,6 +1,6 @@
 import random
 
-from driftloom.llm.leaks import find_leaks, myers_distance, words_of
+from driftloom.llm.leaks import budget_of, find_leaks, myers_distance, piece_size, words_of
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -85,3 +85,33 @@ def test_edge_cases(spark):
 def test_words():
     assert words_of("<b>Café</b>&nbsp;ﬁne co­op x_y") == ["cafe", "fine", "coop", "x", "y"]
     assert words_of(None) == []
+
+
+def test_every_smallest_stretch_keeps_a_piece():
+    """Whatever single errors, nine words apart, a smallest stretch has, one whole piece is free of them."""
+    for least in range(1, 80):
+        size, budget = piece_size(least, 9), budget_of(least, 9)
+        for start in range(size):
+            whole = [k for k in range(0, least + size, size) if start <= k and k + size <= start + least]
+            assert len(whole) >= budget + 1, (least, start)
+
+
+def test_short_items_and_one_change(spark):
+    rng = random.Random(4)
+    short, middle = rng.sample(WORDS, 15), rng.sample(WORDS, 35)
+    changed = [*middle[10:17], "other", *middle[18:25]]
+    filler = " ".join(f"x{k}" for k in range(30))
+    documents = [(1, f"{filler} {' '.join(short[4:11])} {filler}", 1, ""), (2, f"{filler} {' '.join(changed)} {filler}", 1, ""), (3, f"{filler} {' '.join(short[4:9])} {filler}", 1, ""), (4, f"{filler} uniquum {filler}", 1, "")]
+    items = [(1, " ".join(short), 1, ""), (2, " ".join(middle), 1, ""), (3, "uniquum", 1, "")]
+    found = {(r.doc_id, r.item_id, r.covered) for r in find_leaks(*frames(spark, documents, items)).collect()}
+    assert found == {(1, 1, 7), (2, 2, 15), (4, 3, 1)}
+
+
+def test_a_piece_of_many_items(spark):
+    """Items that share most of their words are all told apart, in one scan."""
+    rng = random.Random(5)
+    common = rng.sample(WORDS, 30)
+    items = [[*common, *rng.sample(WORDS, 40)] for _ in range(200)]
+    documents = [(k, " ".join(items[k][20:65]), 1, "") for k in range(0, 200, 20)]
+    found = {(r.doc_id, r.item_id) for r in find_leaks(*frames(spark, documents, [(k, " ".join(w), 1, "") for k, w in enumerate(items)])).collect()}
+    assert found == {(k, k) for k in range(0, 200, 20)}
