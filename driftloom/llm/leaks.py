@@ -29,6 +29,7 @@ from driftloom.plans.spread import spread
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_ACCENT = re.compile("[\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(1_000_003)
 
@@ -47,7 +48,9 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _ACCENT.sub("", text)
+        if not text.isascii() and any(map(unicodedata.combining, set(text))):
+            text = "".join(c for c in text if not unicodedata.combining(c))
     return _WORD.findall(text.casefold())
 
 
@@ -109,8 +112,13 @@ def _grow(item: list, doc: list, i: int, j: int, step: int, run: int, gap: int)
     k = matched(i, j)
     i, j, run, before = i + k * step, j + k * step, run + k, k
     while 0 <= i < n and 0 <= j < m and run >= gap - 1:
-        k, _, di, dj = max((matched(i + di * step, j + dj * step), -di - dj, di, dj) for di, dj in _STEPS)
-        if k < 2:  # one common word after a gap is chance
+        k = di = dj = 0
+        for a, b in _STEPS:
+            x, y = i + a * step, j + b * step
+            # one common word after a gap is chance: two must match at once
+            if 0 <= x < n and 0 <= y < m and item[x] == doc[y] and 0 <= x + step < n and 0 <= y + step < m and item[x + step] == doc[y + step] and (run_on := matched(x, y)) > k:
+                k, di, dj = run_on, a, b
+        if not k:
             break
         first = before if first is None else first
         i, j, run = i + (di + k) * step, j + (dj + k) * step, k
