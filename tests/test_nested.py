@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from driftloom.operators.nested import chunk_children, flatten_records, index_payloads
+from driftloom.operators.nested import _Bitmaps, _joined, chunk_children, flatten_records, index_payloads, readable
 
 LISTS = ("retrieved_chunks_raw", "chunks_final_to_llm")
 
@@ -148,3 +149,60 @@ def test_round_trip(record, indent, ascii_only):
 @pytest.mark.parametrize("payload", ['{"a": [1, 2}', '{"a" 1}', "[1,]", '"open', "nul"])
 def test_unreadable(payload):
     assert list(index_payloads([payload])) == []
+
+
+def accepted(texts):
+    whole, starts = _joined([t.encode("utf-8", "replace") for t in texts])
+    return readable(_Bitmaps(np.frombuffer(whole, np.uint8), starts)).tolist()
+
+
+def loads(text):
+    try:
+        json.loads(text.encode("utf-8", "replace").decode())
+    except ValueError:
+        return False
+    return True
+
+
+BROKEN = [
+    '{"a": 1}', '{"a": 1,}', '{"a": 1 "b": 2}', '{"a": [1, {"b": null}]}', '{"a": [1, {"b": null]}}', "[[1], [2]]", "[[1] [2]]", "]", "[", "}{", "[]]", "[}", '{"a"}', '{"a":}', '{:1}', '{1: 2}', '{"a": "b": 3}',
+    '{"a": 1, [2]}', '[1: 2]', "1 2", "1", " 1 ", "-", "01", "1.", "1e5", "1e", "-0.5E-3", "tru", "true", "truefalse", "NaN", "-Infinity", '"a" "b"', '"a"b', 'a"b"', '"\\u12"', '"\\u12g4"', '"\\u12af"', '"\\x"', '"tab\tin"',
+    '"\\"', '"\\\\"', '\\"', '"a\\', '[1,,2]', "[,1]", '{"a": {"b": {"c": [[], {}, [{}]]}}}', '{"a": 1}}', '{"a": 1} {"b": 2}', '{"a": [}]}', "\ufeff[]", "[1]x", "[1],", "", " ", "{}", '{"": ""}', '{"a": 1, "a": 2}',
+]
+
+
+def test_readable_as_the_standard_parser():
+    assert accepted(BROKEN) == [loads(t) for t in BROKEN]
+    for t in BROKEN:  # alone, not only beside others
+        assert accepted([t]) == [loads(t)], t
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet='{}[]:,"\\ 1ae\n-u0', max_size=12), min_size=1, max_size=6))
+def test_readable_for_any_text(texts):
+    assert accepted(texts) == [loads(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(records, st.integers(0, 60), st.sampled_from('{}[]:,"\\x1 '))
+def test_readable_after_one_change(record, at, letter):
+    text = json.dumps(record)
+    texts = [text[:at] + letter + text[at + 1 :], text[:at] + text[at + 1 :], text, text[:at]]
+    assert accepted(texts) == [loads(t) for t in texts]
+
+
+def test_any_number_of_text_levels():
+    value = {"retrieved_chunks_raw": [{"metadata": {"authors": ["x"]}}]}
+    for _ in range(14):
+        value = {"run": json.dumps(value)}
+    rows = list(index_payloads([json.dumps(value)]))
+    assert sum(r[5] == "authors" for r in rows) == 1 and rows[-1][8] == "x"
+
+
+def test_very_deep_payload():
+    deep = 60_000
+    rows = list(index_payloads(["[" * deep + "]" * deep, '{"a": 1}']))
+    assert len(rows) == deep + 2
+    mine = [r for r in rows if r[0] == 0]
+    assert [r[2] for r in mine] == list(range(-1, deep - 1)) and mine[-1][3] == deep - 1
+    assert mine[1000][4] is not None and mine[1001][4] is None
