@@ -18,6 +18,11 @@ def shuffled(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def of_rows(side: DataFrame, rows: int) -> DataFrame:
+    """A side of numbers, of which so many rows were counted."""
+    return F.broadcast(side) if rows <= MOST_ROWS else shuffled(side)
+
+
 def counted(side: DataFrame, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> DataFrame:
     """A written side, broadcast if it was counted to be small, and shuffled if not."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in side.schema.fields if f.dataType.typeName() in ("string", "binary")]
