@@ -6,13 +6,17 @@ a profile is merged with the others only if all profiles that it fits fit one an
 initial that could stand for two people links neither.  Merged profiles unite their spellings and
 initials, and the richer profiles enter blocking again, until no further merge occurs.
 
-Blocking keys are symmetric deletes: the name and the name less one letter, so that any two names
-one edit apart share a key.  They also hold the first letter of the given name or its full forms.
-
-Scale: only distinct spellings are compared, however often each occurs; keys spread them over
-blocks of the spellings of nearly equal names.  A round is one join on the keys and a few small ones
-on what fits; every profile joins one richer profile (or that one's own), and what is left to merge
-merges in the next round.  Profiles are cut to the checkpoint folder.
+Blocking keys are symmetric deletes of the family name: the name and the name less one letter, so that
+any two names one edit apart share a key; a swap in a short name is met by its sorted letters, an
+edit in a very long one by its whole first or last part.  Two full given names must also share their
+first letter and the second or third, so that a frequent family name is spread over its given names;
+only profiles without a full given name meet a whole initial.
+
+Scale: only distinct spellings are compared, however often each occurs.  Only profiles that changed in
+the last round, or are admitted in this one, enter blocking, against all.  A key that many profiles
+hold is salted.  Whether a profile is torn between two entities is seen by comparing what it fits
+with the richest of these alone, so no join lists pairs of what one profile fits.  Profiles are cut
+to the checkpoint folder in every round.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from driftloom.plans.lineage import cut
+from driftloom.plans.sides import counted, of_rows, shuffled
 
 # Usual short forms of given names and what they stand for.
 NICKNAMES = {
@@ -45,28 +50,38 @@ _TYPE_OF = {form: name for name, forms in _TYPES.items() for form in (name, *for
 _TITLES = {"dr", "prof", "professor", "phd", "msc", "bsc", "ma", "ba", "md", "jr", "sr", "ii", "iii", "mr", "mrs", "ms", "hon", "sir"}
 _NOBODY = {"", "na", "nn", "unknown", "anonymous", "anon", "etal", "none", "null", "nil", "various", "author", "authors", "unbekannt", "inconnu", "anonyme", "anonym", "anonimo", "desconocido", "staff", "editor", "editors", "tba", "nan", "noauthor", "namelos", "verschiedene", "diverse"}
 _SMALL = {"for", "of", "f", "the", "study", "and", "fur", "de", "des", "der"}
+_DEGREE = re.compile(r"^(?:m|b)\.\s?(?:a|d)\.?$|^d\.\s?phil\.?$")
 _ACRONYM = re.compile(r"^([A-Za-z]{3,6})\s*\(([^()]+)\)$")
+#: Deletes are taken of names of 5 to so many letters; half as many letters at either end are the keys of longer ones.
 _LONGEST = 60
 _DIGITS = str.maketrans("0135", "oles")
+# Letters that do not come apart into a base letter and a mark.
+_FOLDED = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i", "ħ": "h", "ŧ": "t", "ŋ": "n"})
+_NOT_LETTER = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: A record with more rounds than this would be a fault; each round merges at least one profile.
+_MOST_ROUNDS = 200
+#: Profiles of one blocking key that are compared in one task at most, on one side.
+_BLOCK_ROWS = 2000
 
 
 def _fold(name: str) -> str:
     text = unicodedata.normalize("NFKD", name)
-    return "".join(c for c in text if not unicodedata.combining(c)).casefold().replace("ß", "ss")
+    return "".join(c for c in text if not unicodedata.combining(c)).casefold().translate(_FOLDED)
 
 
 def _letters(word: str) -> str:
-    """Letters only; digits read as the letters that they resemble."""
-    return re.sub(r"[^a-z]", "", word.translate(_DIGITS) if re.search(r"[a-z]", word) else word)
+    """Letters of any script only; digits read as the letters that they resemble."""
+    return _NOT_LETTER.sub("", word.translate(_DIGITS) if _LETTER.search(word) else word)
 
 
 def parse_name(name: str | None) -> dict | None:
     """Kind, family names, given names, further initials and topic of a spelling; None for nobody."""
     if name is None:
         return None
-    name = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z]\.)", " ", name)  # an initial glued to the given name
+    name = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z]\.)", " ", name) if not name.isupper() else name  # an initial glued to the given name
     text = " ".join(_fold(name).split())
-    if re.sub(r"[^a-z]", "", text) in _NOBODY:
+    if _NOT_LETTER.sub("", text) in _NOBODY:
         return None
     acronym = _ACRONYM.match(" ".join(name.split()))
     if acronym:
@@ -99,8 +114,12 @@ def _organisation(text: str) -> dict | None:
 
 
 def _person(text: str) -> dict | None:
-    text = re.sub(r"\b(ph|m|b)\.\s?(d|sc|a)\b\.?", r"\1\2", text)
+    text = re.sub(r"\b(ph\.\s?d|[mb]\.\s?sc)\b\.?", lambda m: _letters(m[1]), text)
     parts = [p for p in (q.strip() for q in text.split(",")) if p]
+    # "M.A." behind a full name is a degree, behind a family name two initials
+    whole = len(parts) > 1 and len([w for w in re.findall(r"[^\s.]+", parts[0]) if _letters(w)]) > 1
+    last = len(parts) - 1
+    parts = [_letters(p) if k == last and (whole or k > 1) and _DEGREE.match(p) else p for k, p in enumerate(parts)]
     parts = [p for k, p in enumerate(parts) if not k or not all(_letters(w) in _TITLES for w in p.split())]
     split = [[w for w in re.findall(r"[^\s.]+\.?", p) if _letters(w)] for p in parts]
     split = [[w for w in p if _letters(w) not in _TITLES or len(p) == 1] for p in split]
@@ -136,11 +155,11 @@ def _person(text: str) -> dict | None:
 
 
 def near(a: str, b: str, least: int = 5) -> bool:
-    """Equal, or one inserted, dropped, changed or swapped letter apart and not short."""
+    """Equal, or one inserted, dropped, changed or swapped letter apart; of short names only swapped."""
     if a == b:
         return True
     if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < least:
-        return False
+        return len(a) == len(b) > 2 and sum(x != y for x, y in zip(a, b)) == 2 and any(a[k] == b[k + 1] and a[k + 1] == b[k] != a[k] for k in range(len(a) - 1))
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
@@ -193,19 +212,38 @@ def profiles_fit(kind: str, a_last, a_first, a_more, a_topics, b_last, b_first,
         return False
     if a_first and b_first and not any(_given_fit(x, y) for x in a_first for y in b_first):
         return False
-    return not (len(a_more) and len(b_more)) or bool(set(a_more) & set(b_more))
+    # further initials: those of one are among those of the other
+    return set(a_more) <= set(b_more) or set(b_more) <= set(a_more)
 
 
 def _deletes(word: str) -> set[str]:
-    """The word and, of usual length, the word less each letter; longer ones must be equal."""
-    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))} if 5 <= len(word) <= _LONGEST else {word}
+    """Keys of a family name: any two that are :func:`near` share one."""
+    if len(word) < 5:
+        return {word, "~" + "".join(sorted(word))}
+    if len(word) > _LONGEST:  # one edit leaves the first or the last part whole
+        half = _LONGEST // 2
+        return {"<" + word[:half], ">" + word[-half:]}
+    keys = {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+    if len(word) == 5:  # near a short one only by a letter less
+        keys.add("~" + "".join(sorted(word)))
+    return keys if len(word) < _LONGEST else keys | {"<" + word[: _LONGEST // 2], ">" + word[-(_LONGEST // 2) :]}
+
+
+def _full(first: list[str]) -> bool:
+    return any(len(x) > 2 for x in first)
 
 
 def _keys(kind: str, last: list[str], first: list[str]) -> list[str]:
+    """Keys of a profile; those in which only poor profiles ask begin with ``i``."""
+    deletes = {d for x in last for d in _deletes(x)}
     if kind == "org":
-        return sorted({f"o|{d}" for x in last for d in _deletes(x)})
-    letters = {y[0] for x in first for y in full_forms(x) if y} or {"?"}
-    return sorted({f"p|{c}|{d}" for x in last for d in _deletes(x) for c in letters})
+        return sorted(f"o|{d}" for d in deletes)
+    forms = {y for x in first for y in full_forms(x) if y}
+    keys = {f"i|{c}|{d}" for c in ({y[0] for y in forms} or {"?"}) for d in deletes}
+    if _full(first):
+        starts = {y[:2] for y in forms} | {y[0] + y[2] for y in forms if len(y) > 2}
+        keys |= {f"f|{c}|{d}" for c in starts for d in deletes}
+    return sorted(keys)
 
 
 def _spellings(names: DataFrame) -> DataFrame:
@@ -215,7 +253,7 @@ def _spellings(names: DataFrame) -> DataFrame:
     def parsed(name: pd.Series) -> pd.DataFrame:
         rows = []
         for p in map(parse_name, name):
-            rows.append((None, None, None, [], None) if p is None else (p["kind"], p["last"][0], (p["first"] or [None])[0], p["more"][:1], p["topic"]))
+            rows.append((None, None, None, [], None) if p is None else (p["kind"], p["last"][0], (p["first"] or [None])[0], p["more"], p["topic"]))
         return pd.DataFrame(rows, columns=["kind", "last", "first", "more", "topic"])
 
     rows = cut(names.withColumn("p", parsed("name")).select("name", "p.*").where("kind is not null"))
@@ -267,47 +305,101 @@ def _with_richness(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("rich", rich)
 
 
-def resolve_names(records: DataFrame, *, authors: str = "authors", rounds: int = 12) -> DataFrame:
+_PARTS = ("last", "first", "more", "topics")
+
+
+def _ready(profiles: DataFrame) -> DataFrame:
+    """Profiles with how rich they are, whether they lack a full given name, and their keys; written."""
+    poor = (F.col("kind") != "org") & ~F.exists("first", lambda x: F.length(x) > 2)
+    return cut(_with_richness(profiles).withColumn("poor", poor).withColumn("keys", _block_keys("kind", "last", "first")))
+
+
+def _fitting(asking: DataFrame, profile: DataFrame, poor: bool) -> DataFrame:
+    """``(a, b, ra, rb)``, a < b: pairs of profiles that fit, one of them among the asking ones.
+
+    ``poor``: whether profiles without a full given name are among them.  Rows of a key that many
+    ask by are spread: the asking side over parts, the other copied to each.
+    """
+    keys = F.col("keys") if poor else F.filter("keys", lambda x: ~x.startswith("i|"))
+    keyed = lambda df: df.select(F.explode(keys).alias("key"), "id", "poor", F.struct("kind", *_PARTS, "rich").alias("p"))
+    # by a whole initial only those ask that have nothing better
+    left = keyed(asking).where(F.col("poor") | ~F.col("key").startswith("i|")).drop("poor")
+    right = keyed(profile).select("key", F.col("id").alias("other"), F.col("p").alias("q"))
+    hot = cut(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK_ROWS).select("key", F.ceil(F.col("n") / _BLOCK_ROWS).cast("int").alias("parts")))
+    on = ["key"]
+    if not hot.isEmpty():
+        hot, on = counted(hot), ["key", "part"]
+        left = left.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).cast("int")).drop("parts")
+        right = right.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = left.join(shuffled(right), on).where("id <> other")
+    swap = F.col("id") < F.col("other")
+    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("q"))
+    pairs = pairs.groupBy("a", "b").agg(F.any_value("p").alias("p"), F.any_value("q").alias("q"))
+    parts = [F.col(f"{side}.{c}") for side in "pq" for c in _PARTS]
+    return pairs.where(_fit("p.kind", *parts)).select("a", "b", F.col("p.rich").alias("ra"), F.col("q.rich").alias("rb"))
+
+
+def _parents(fitting: DataFrame) -> DataFrame:
+    """``(a, b)``: the profile that each free one joins, written.
+
+    A poorer profile is free if everything that it fits fits the richest of these; of both ends the
+    poorer, or later, one takes the other as parent: an order without cycles.
+    """
+    mirrored = fitting.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+    directed = fitting.unionByName(mirrored).where("ra <= rb")
+    n = fitting.count()
+    best = directed.groupBy("a").agg(F.min_by(F.struct("b", "ra", "rb"), F.struct(-F.col("rb"), "b")).alias("best"))
+    others = directed.select("a", "b").join(of_rows(best, 2 * n), "a").where("b <> best.b").select("a", F.least("b", "best.b").alias("x"), F.greatest("b", "best.b").alias("y"))
+    torn = others.join(of_rows(fitting.select(F.col("a").alias("x"), F.col("b").alias("y")), n), ["x", "y"], "left_anti").select("a").distinct()
+    free = best.join(of_rows(torn, n), "a", "left_anti").select("a", "best.*")
+    upward = (F.col("rb") > F.col("ra")) | (F.col("b") < F.col("a"))
+    oriented = free.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(upward, F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+    return cut(oriented.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rb"), "b")).alias("b")))
+
+
+def resolve_names(records: DataFrame, *, authors: str = "authors") -> DataFrame:
     """``(name, entity)``: every spelling that names somebody, with the entity that it belongs to.
 
+    Full names merge first, then names without initials, then what only initials tell, at last family
+    names alone (which meet one another only); rounds go on until no further merge occurs.
+
     Defined cases: null and empty arrays, null elements and placeholders (dashes, "unknown", "et
-    al.", ...) name nobody and are left out; repeated names count once; a very long name is one
-    spelling like any other; further columns are ignored; an empty table gives an empty result.
+    al.", ...) name nobody and are left out; letters of any script name somebody; repeated names count
+    once; a very long name is one spelling like any other; further columns are ignored; an empty
+    table gives an empty result.
     """
     names = records.select(F.explode(authors).alias("name")).where("name is not null").distinct()
-    columns = ("last", "first", "more", "topics")
-    profile = cut(_with_richness(_spellings(names).withColumn("members", F.array("name")).drop("name")))
-    for turn in range(rounds):
-        # full names first, then names without initials, then what only initials tell
-        least = max(0, 3 - turn)
-        keyed = profile.where(F.col("rich") >= least).select(
-            F.explode(_block_keys("kind", "last", "first")).alias("key"), "id", F.struct("kind", *columns, "rich").alias("p")
-        )
-        twin = keyed.select("key", F.col("id").alias("other"), F.col("p").alias("q"))
-        pairs = keyed.join(twin, "key").where("id < other").groupBy("id", "other").agg(F.any_value("p").alias("p"), F.any_value("q").alias("q"))
-        parts = [F.col(f"{side}.{c}") for side in "pq" for c in columns]
-        fitting = cut(pairs.where(_fit("p.kind", *parts)).select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("p.rich").alias("ra"), F.col("q.rich").alias("rb")))
-        # the poorer profile joins a richer one if everything that it fits fits together
-        mirrored = fitting.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))
-        directed = fitting.unionByName(mirrored).where("ra <= rb")
-        candidates = directed.select("a", "b").join(directed.select("a", F.col("b").alias("c")), "a").where("b < c")
-        torn = candidates.join(fitting.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_anti").select("a").distinct()
-        free = directed.join(torn, "a", "left_anti")
-        # of both ends the poorer, or later, one takes the other as parent: an order without cycles
-        upward = (F.col("rb") > F.col("ra")) | (F.col("b") < F.col("a"))
-        oriented = free.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(upward, F.col("rb")).otherwise(F.col("ra")).alias("rb"))
-        parents = cut(oriented.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rb"), "b")).alias("b")))
-        if parents.isEmpty():
-            if least == 0:
+    # spellings with a full given name that read the same are one profile from the start
+    alone = F.when(F.col("rich") < 2, F.col("name"))
+    read = _with_richness(_spellings(names)).groupBy("kind", *_PARTS, alone.alias("alone"))
+    profile = _ready(read.agg(F.min("id").alias("id"), F.collect_list("name").alias("members")).drop("alone").withColumn("fresh", F.lit(True)))
+    fitting, labels = None, None
+    for turn in range(_MOST_ROUNDS + 1):
+        least, before = max(-1, 3 - turn), max(-1, 4 - turn)
+        # who was changed by the last round, or is admitted by this one, is compared with all
+        present = profile.where(F.col("rich") >= least)
+        found = _fitting(present.where(F.col("fresh") | (F.col("rich") < before)), present, least < 2)
+        if fitting is not None:  # what was found before and has not changed since still stands
+            changed = of_rows(labels.select(F.explode(F.array("id", "label")).alias("a")).distinct(), 2 * merges) if labels is not None else None
+            kept = fitting if labels is None else fitting.join(changed, "a", "left_anti").join(changed.withColumnRenamed("a", "b"), "b", "left_anti")
+            found = found.unionByName(kept)
+        fitting = cut(found)
+        parents = _parents(fitting)
+        merges = parents.count()
+        if not merges:
+            if least == -1:
                 break
+            labels, profile = None, profile.withColumn("fresh", F.lit(False))
             continue
         above = parents.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        labels = parents.join(above, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("label"))
+        labels = parents.join(of_rows(above, merges), "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("label"))
         union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-        merged = profile.join(labels, "id", "left").groupBy(F.coalesce("label", "id").alias("id")).agg(
-            F.first("kind").alias("kind"), *(union(c).alias(c) for c in (*columns, "members"))
+        merged = profile.drop("rich", "poor", "keys", "fresh").join(of_rows(labels, merges), "id", "left").groupBy(F.coalesce("label", "id").alias("id")).agg(
+            F.first("kind").alias("kind"), *(union(c).alias(c) for c in (*_PARTS, "members")), (F.count("*") > 1).alias("fresh")
         )
-        profile = cut(_with_richness(merged))
+        profile = _ready(merged)
+    else:
+        raise RuntimeError(f"names still merge after {_MOST_ROUNDS} rounds")
     return profile.select(F.explode("members").alias("name"), F.col("id").alias("entity"))
 
 
