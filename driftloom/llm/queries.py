@@ -10,7 +10,7 @@ from driftloom.llm.leaks import find_leaks
 from driftloom.llm.mixing import mix, mix_report, mixing_rates, sized_documents
 from driftloom.llm.names import linked_spellings, resolve_names
 from driftloom.llm.neighbours import nearest_neighbours, neighbour_pairs
-from driftloom.llm.responses import find_defects
+from driftloom.llm.responses import find_defects, truncation_evidence
 from driftloom.llm.scans import find_noise, repair_fields
 from driftloom.llm.splitting import split_texts
 from driftloom.sources.tables import table
@@ -31,6 +31,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_defects(table(spark, folder, "llm_log"))
 
 
+def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What shows that each truncated response is one."""
+    return truncation_evidence(table(spark, folder, "llm_log"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(table(spark, folder, "chunk_vectors")))
 
@@ -65,7 +70,7 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p5_found, p6_found, p7_mix, p7_shares, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_evidence, p3_found, p5_found, p6_found, p7_mix, p7_shares, p8_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

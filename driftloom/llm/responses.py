@@ -6,15 +6,18 @@ space.  Five defects are told apart:
 * ``empty``     - nothing is left once labels, tags, quotes and words for nothing are removed.
 * ``copy``      - only the question again: same words but for few, also labelled, quoted or twice.
 * ``refusal``   - a sentence that declines, and no other sentence that says something.
-* ``truncated`` - the text stops inside a sentence or list.  Evidence: how the text ends; the distinct
-  responses are sorted and a response without a full stop that is a proper prefix of its neighbour
-  is a shortened version of it; unfinished-looking short lines count where their length is one at
-  which responses of the model pile up (a length limit).
+* ``truncated`` - the text stops inside a sentence or list.  Evidence, by itself: the distinct responses
+  are sorted, and a response that is a proper prefix of its neighbour is a shortened version of it
+  where the longer one goes on inside the same sentence, line or list; unfinished-looking responses
+  whose length is one at which the model's responses pile up (a length limit); and where neither can
+  tell, as a text may be cut anywhere and its whole be written nowhere, an open ending.
 * ``language``  - stop words of another language than the query asks for, or is written in.
 
+:func:`truncation_evidence` tells which evidence each truncated response has.
+
 Scale: rules run in one narrow pass.  The neighbour comparison range-partitions the distinct
-responses once; only the first and last text of each partition are compared apart.  Lengths are
-pre-aggregated to one row per model and length.
+responses once, into as many partitions as their bytes ask for; only the first and last text of each
+partition are compared apart.  Lengths are pre-aggregated to one row per model and length.
 """
 
 from __future__ import annotations
@@ -171,52 +174,57 @@ def judge(query: str | None, response: str | None) -> tuple[str, str]:
     return ",".join(defects), ending
 
 
+def goes_on(short: str, longer: str) -> bool:
+    """Whether the longer text goes on inside what the short one, a prefix of it, left unfinished.
+
+    A sentence that ended and is followed by another one was whole; so was a refusal whose longer
+    version adds a polite tail, and so is an answer of up to three words ("Yes", "1962").  A list that
+    goes on with a further entry was not, nor was a line.
+    """
+    rest = longer[len(short) :]
+    if "\n" not in short and len(short.split()) <= 3 and not short.endswith((",", "-", ":", ";")):
+        return False
+    if _is_refusal(short) and _is_refusal(longer):
+        return False
+    if _CLOSED.search(short):
+        # one entry of a list, or one row of a table, may end with a full stop and more follow
+        line, after = short.rsplit("\n", 1)[-1], rest.lstrip("\n").split("\n", 1)[0]
+        return rest.startswith("\n") and bool(_BULLET.match(line) and _BULLET.match(after))
+    return True
+
+
 def _shortened(distinct: DataFrame, partitions: int) -> DataFrame:
-    """Hashes of responses that are a proper prefix of another response."""
+    """Hashes of responses that another response goes on from."""
     sorted_texts = distinct.select("response", "h").repartitionByRange(partitions, "response").sortWithinPartitions("response")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, first, previous, hashes = TaskContext.get().partitionId(), None, None, []
+        part, first, previous = TaskContext.get().partitionId(), None, None
         for frame in frames:
+            hashes = []
             for text, h in zip(frame["response"], frame["h"]):
                 if previous is None:
                     first = (text, h)
-                elif text != previous[0] and text.startswith(previous[0]):
+                elif text != previous[0] and text.startswith(previous[0]) and goes_on(previous[0], text):
                     hashes.append(previous[1])
                 previous = (text, h)
+            yield pd.DataFrame([(part, "prefix", None, h) for h in hashes], columns=["part", "kind", "response", "h"])
         if previous is not None:
-            rows = [(part, "first", *first), (part, "last", *previous), *((part, "prefix", None, h) for h in hashes)]
-            yield pd.DataFrame(rows, columns=["part", "kind", "response", "h"])
+            yield pd.DataFrame([(part, "first", *first), (part, "last", *previous)], columns=["part", "kind", "response", "h"])
 
     found = cut(sorted_texts.mapInPandas(compare, "part int, kind string, response string, h bigint"))
     # the borders: two rows for each partition
     edge = found.where("kind <> 'prefix'").withColumn("next", F.lead("response").over(W.orderBy("part", "kind")))
-    across = edge.where((F.col("kind") == "last") & (F.col("next") != F.col("response")) & F.col("next").startswith(F.col("response"))).select("h")
+    continued = F.udf(lambda short, longer: goes_on(short, longer), "boolean", useArrow=False)  # one row for each partition
+    across = edge.where((F.col("kind") == "last") & (F.col("next") != F.col("response")) & F.col("next").startswith(F.col("response"))).where(continued("response", "next")).select("h")
     return found.where("kind = 'prefix'").select("h").unionByName(across).distinct()
 
 
-def find_defects(
-    logs: DataFrame,
-    *,
-    log_id: str = "log_id",
-    query: str = "query_refined",
-    model: str = "model",
-    output: str = "model_output",
-    answer: str = "answer",
-    partitions: int = 32,
-    spike: float = 6.0,
-    least_spike: int = 12,
+def _judged(
+    logs: DataFrame, *, log_id: str, query: str, model: str, output: str, answer: str, partitions: int | None, spike: float, least_spike: int
 ) -> DataFrame:
-    """``(log_id, defect)``: one row for each defect of each log entry.
-
-    ``spike``: a length is a limit of a model if at least ``least_spike`` unfinished responses have
-    it and ``spike`` times as many as the mean of the ten lengths around.  Defined cases: null or
-    blank in both response columns is ``empty``; a null query rules out ``copy`` and ``language``;
-    entries logged twice are judged twice; repeated rows give repeated results only under different
-    ids; further columns are ignored; an empty table gives an empty result.
-    """
+    """Each log entry with its defects and the evidence for its truncation."""
     blank = F.coalesce(F.regexp_replace(F.col(output), r"(?U)\s", ""), F.lit("")) == ""
     rows = logs.select(
         F.col(log_id).cast("bigint").alias("log_id"),
@@ -231,14 +239,63 @@ def find_defects(
 
     rows = spread(rows).withColumn("response", F.rtrim("response")).withColumn("h", F.xxhash64("response")).withColumn("j", judged("query", "response"))
     rows = cut(rows.select("log_id", "model", "h", F.length("response").alias("size"), "response", "j.*"))
-    short = _shortened(rows.where("size >= 12").select("response", "h").distinct(), partitions).withColumn("shortened", F.lit(True))
-    sizes = rows.where("ending <> 'closed' and size > 60").groupBy("model", "size").agg(F.count("*").alias("n"))
+    whole = rows.where("response <> '' and defects not like '%empty%' and defects not like '%copy%'")
+    if partitions is None:  # some 64 MB of text a partition
+        size = rows.agg(F.sum(F.octet_length("response").cast("bigint"))).first()[0] or 0
+        partitions = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // 64_000_000))
+    short = _shortened(whole.select("response", "h").distinct(), partitions).withColumn("shortened", F.lit(True))
+    # lengths at which unfinished responses of a model pile up, against the lengths around
+    sizes = whole.where("ending <> 'closed'").groupBy("model", "size").agg(F.count("*").alias("n"))
     around = W.partitionBy("model").orderBy("size").rangeBetween(-5, 5)
-    limits = sizes.withColumn("mean", (F.sum("n").over(around) - F.col("n")) / 10).where((F.col("n") >= least_spike) & (F.col("n") >= spike * F.col("mean")))
+    limits = sizes.withColumn("mean", (F.sum("n").over(around) - F.col("n")) / 10).where((F.col("size") > 60) & (F.col("n") >= least_spike) & (F.col("n") >= spike * F.col("mean")))
     limits = limits.select("model", "size", F.lit(True).alias("at_limit"))
-    with_evidence = rows.join(short, "h", "left").join(limits, ["model", "size"], "left")
-    cut_off = (F.col("ending") == "open") | ((F.col("ending") == "doubtful") & (F.coalesce("shortened", F.lit(False)) | F.coalesce("at_limit", F.lit(False))))
+    seen = rows.join(short, "h", "left").join(limits, ["model", "size"], "left")
+    judgeable = ~F.col("defects").rlike("empty|copy")
+    longer, limit = F.coalesce("shortened", F.lit(False)) & judgeable, F.coalesce("at_limit", F.lit(False)) & (F.col("ending") != "closed") & judgeable
+    return seen.select("log_id", "defects", longer.alias("longer_neighbour"), limit.alias("length_limit"), (F.col("ending") == "open").alias("open_ending"))
+
+
+def find_defects(
+    logs: DataFrame,
+    *,
+    log_id: str = "log_id",
+    query: str = "query_refined",
+    model: str = "model",
+    output: str = "model_output",
+    answer: str = "answer",
+    partitions: int | None = None,
+    spike: float = 6.0,
+    least_spike: int = 12,
+) -> DataFrame:
+    """``(log_id, defect)``: one row for each defect of each log entry.
+
+    ``spike``: a length is a limit of a model if at least ``least_spike`` unfinished responses have
+    it and ``spike`` times as many as the mean of the ten lengths around.  ``partitions``: of the
+    sorted responses, by default from their bytes.  Defined cases: null or blank in both response
+    columns is ``empty``; a null query rules out ``copy`` and ``language``; entries logged twice are
+    judged twice; repeated rows give repeated results only under different ids; further columns are
+    ignored; an empty table gives an empty result.
+    """
+    rows = _judged(logs, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
+    cut_off = F.col("longer_neighbour") | F.col("length_limit") | F.col("open_ending")
     defects = F.array_union(
         F.filter(F.split("defects", ","), lambda d: d != ""), F.when(cut_off, F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
     )
-    return with_evidence.select("log_id", F.explode(defects).alias("defect")).distinct()
+    return rows.select("log_id", F.explode(defects).alias("defect")).distinct()
+
+
+def truncation_evidence(
+    logs: DataFrame,
+    *,
+    log_id: str = "log_id",
+    query: str = "query_refined",
+    model: str = "model",
+    output: str = "model_output",
+    answer: str = "answer",
+    partitions: int | None = None,
+    spike: float = 6.0,
+    least_spike: int = 12,
+) -> DataFrame:
+    """``(log_id, longer_neighbour, length_limit, open_ending)`` of every truncated response of :func:`find_defects`."""
+    rows = _judged(logs, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
+    return rows.where("longer_neighbour or length_limit or open_ending").select("log_id", "longer_neighbour", "length_limit", "open_ending").distinct()

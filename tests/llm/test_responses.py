@@ -1,6 +1,6 @@
 import pytest
 
-from driftloom.llm.responses import find_defects, judge
+from driftloom.llm.responses import find_defects, goes_on, judge, truncation_evidence
 
 SENTENCE = "The term is central in 1926 but already temporal in the estimate of 1964."
 GERMAN = "In den 1890er Jahren galten digitale Muster noch als Beleg für den Begriff."
@@ -82,3 +82,16 @@ def test_length_limit(spark):
 
 def test_empty_table(spark):
     assert find_defects(frame(spark, [])).count() == 0
+
+
+def test_what_a_longer_version_tells():
+    assert goes_on("The term is cen", SENTENCE) and goes_on("Main points:\n- one.\n- two.", "Main points:\n- one.\n- two.\n- three.")
+    assert not goes_on(SENTENCE, SENTENCE + " " + SENTENCE) and not goes_on("Yes", "Yes, by and large.")
+    refusal = "I'm sorry, but I am not able to help with that"
+    assert not goes_on(refusal, refusal + ". Please consult an expert.")
+
+
+def test_evidence(spark):
+    rows = [(1, QUESTION, "m", "Main points:\n- oral treaty\n- late offset\n- urban reform", None), (2, QUESTION, "m", "Main points:\n- oral treaty\n- late offset", None), (3, QUESTION, "m", SENTENCE + " A second", None), (4, None, None, None, None)]
+    found = {tuple(r) for r in truncation_evidence(frame(spark, rows)).collect()}
+    assert found == {(2, True, False, False), (3, False, False, True)}
