@@ -85,3 +85,113 @@ def person_like(name: Column, longest: int = 80) -> Column:
         & F.forall(words, lambda w: w.rlike("^[A-ZÀ-Þ]"))
         & ~F.arrays_overlap(F.transform(words, lambda w: F.lower(w)), stops)
     )
+
+
+def year_refined(stored: Column, text: Column, far: int = 10) -> Column:
+    """A stored year checked against the text: a year of publication there comes first, else the latest
+    year of the text if it is ``far`` or more away, else the stored one."""
+    plain = F.array_max(F.filter(strict_years(text), lambda y: valid_year(y).isNotNull()))
+    known = valid_year(stored)
+    return F.coalesce(context_year(F.coalesce(text, F.lit(""))), F.when(known.isNull() | (F.abs(plain - known) >= far), plain), known)
+
+
+def page_year(pages: Column, first: int = 3) -> Column:
+    """``(year, score)`` of the first pages: the first page with a year of publication, at 95 less the
+    page's number; else the best of the latest plain years, at 45 and more the earlier the page."""
+    cut = F.slice(pages, 1, first)
+    none = F.lit(None).cast("int")
+    stated = F.transform(cut, lambda p, i: F.struct((F.lit(95) - i).alias("score"), context_year(p).alias("year")))
+    plain = F.transform(cut, lambda p, i: F.struct((F.lit(45 + first) - i).alias("score"), F.array_max(F.filter(strict_years(p), lambda y: valid_year(y).isNotNull())).alias("year")))
+    best = F.coalesce(F.get(F.filter(stated, lambda x: x["year"].isNotNull()), F.lit(0)), F.array_max(F.filter(plain, lambda x: x["year"].isNotNull())))
+    return F.struct(F.coalesce(best["year"], none).alias("year"), best["score"].alias("score"))
+
+
+def best_date(*dates: tuple[int, Column]) -> Column:
+    """Year of the best of (score, date) that has a valid one."""
+    years = F.array(*(F.struct(F.lit(score).alias("s"), valid_year(date_year(date)).alias("y")) for score, date in dates))
+    return F.array_max(F.filter(years, lambda x: x["y"].isNotNull()))["y"]
+
+
+def doi_of(text: Column) -> Column:
+    """The first DOI, without the marks of the sentence around it."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+)", 1)
+    return F.nullif(F.regexp_replace(found, r"[.,)]+$", ""), F.lit(""))
+
+
+def arxiv_of(text: Column) -> Column:
+    """The first arXiv identifier, new or old, that is named as one."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\barxiv[:/ ][ ]?([0-9]{4}\.[0-9]{4,5}|[a-z\-]+/[0-9]{7})", 1), F.lit(""))
+
+
+def lines_with_text(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+
+
+def author_block(text: Column) -> Column:
+    """Whether a line names authors or where they work rather than a title."""
+    return text.rlike(r"(?i)\b(?:university|dept|department|institute|school|college|laboratory|lab|affiliat|authors?)\b") | text.rlike(r"^[A-Z][a-z]+(?: [A-Z][a-z]+)+,? (?:and|&) [A-Z][a-z]+")
+
+
+def first_line_title(text: Column) -> Column:
+    """The first line of a text that can be a title."""
+    return F.get(F.filter(lines_with_text(text), lambda x: title_valid(normal_title(x)) & ~author_block(x) & ~x.rlike("(?i)abstract|introduction|contents")), F.lit(0))
+
+
+def layout_title(spans: Column, top: int = 3) -> Column:
+    """Title from a first page's ``array<struct<size, y0, text>>``: the largest and highest spans joined;
+    the next ones where these name authors."""
+    filled = F.filter(spans, lambda x: strip(x["text"]) != "")
+    placed = F.transform(F.array_sort(F.transform(filled, lambda x, i: F.struct((-x["size"]).alias("a"), x["y0"].alias("b"), i.alias("i"), strip(x["text"]).alias("t")))), lambda x: x["t"])
+    joined = lambda at: normal_title(F.array_join(F.slice(placed, at, top), " "))
+    first, second = joined(1), joined(1 + top)
+    usable = lambda c: F.when(title_valid(c) & ~author_block(c), c)
+    return F.when(author_block(first), usable(second)).otherwise(usable(first))
+
+
+def best_title(stored: Column, tei: Column, layout: Column) -> Column:
+    """The first valid title of the file's own metadata, its sidecar and its first page."""
+    valid = lambda c: F.when(title_valid(normal_title(c)), normal_title(c))
+    return F.coalesce(valid(stored), valid(tei), valid(layout))
+
+
+# Words that no name of a person holds, and those taken out of names.
+NOT_NAMES = "abstract introduction university department institute arxiv model learning probability appendix keywords ai neural transformer algorithm vol intelligence computing zentrum sciences centre center".split()
+AFFILIATION = r"(?i)\b(?:google|inc\.?|university|institute|labs?|dept\.?|center|centre|zentrum|sciences?)\b"
+
+
+def name_like(name: Column) -> Column:
+    """One to five words, the first with a capital, no digits, none of :data:`NOT_NAMES`."""
+    words = F.filter(F.split(strip(F.coalesce(name, F.lit(""))), rf"{SPACE}+"), lambda w: w != "")
+    return F.size(words).between(1, 5) & name.rlike("^[A-ZÀ-Þ]") & ~name.rlike("[0-9]") & ~F.arrays_overlap(F.transform(words, F.lower), F.array(*map(F.lit, NOT_NAMES)))
+
+
+def normal_author(name: Column) -> Column:
+    """Without footnote signs and words of institutions, single blanks."""
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[•†]", ""), AFFILIATION, ""), rf"{SPACE}+", " "))
+
+
+def names_in_text(text: Column) -> Column:
+    """Runs of two to four capitalised words before the abstract: a rule in place of a name recogniser."""
+    head = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)Abstract.*", "")
+    runs = F.regexp_extract_all(head, F.lit(r"(?:^|[^A-Za-zÀ-ÿ.])([A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ]\.)?(?: [A-ZÀ-Þ][a-zà-ÿ]+){1,2})"), F.lit(1))
+    return F.filter(runs, name_like)
+
+
+def best_authors(*sources: Column) -> Column:
+    """Of the first source that names anybody: normalised, verified, each once, in order."""
+    chosen = F.coalesce(*(F.when(F.size(F.filter(a, lambda x: strip(F.coalesce(x, F.lit(""))) != "")) > 0, a) for a in sources), F.array().cast("array<string>"))
+    clean = F.filter(F.transform(F.filter(chosen, lambda x: x.isNotNull()), normal_author), lambda x: (x != "") & person_like(x))
+    return F.array_distinct(clean)
+
+
+CONTENTS_HEADING = r"(?i)(?:inhalt|contents)"
+CONTENTS_ENTRY = r"^(?:[0-9]{0,2}\.?)*[ \t]*[A-ZÄÖÜa-zäöü].{3,}[ \t]+[0-9]{1,3}$"
+
+
+def textual_contents(text: Column) -> Column:
+    """Contents entries ``(level, title, page)`` that stand in a text with a heading of contents."""
+    listed = F.filter(lines_with_text(text), lambda x: x.rlike(CONTENTS_ENTRY) & x.rlike(r"[ \t]{2,}[^ \t]+$"))
+    number = lambda x: F.regexp_extract(x, "^([0-9]+(?:[.][0-9]+)*)", 1)
+    title = lambda x: strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]{2,}[^ \t]*$", ""), r"^[0-9]+(?:\.[0-9]+)*\.?[ \t]*", ""))
+    entry = lambda x: F.struct((F.length(F.regexp_replace(number(x), "[^.]", "")) + 1).alias("level"), title(x).alias("title"), F.regexp_extract(x, "([0-9]+)$", 1).try_cast("int").alias("page"))
+    return F.when(text.rlike(CONTENTS_HEADING), F.transform(listed, entry)).otherwise(F.array().cast("array<struct<level:int,title:string,page:int>>"))

@@ -18,11 +18,11 @@ SPACE = r"[ \t\r\n\x0B\f]"
 
 # What the cleaning chain removes, in its order.
 UNICODE_SPACES: list[Step] = [("[\u00a0\u2000-\u200b]+", " ")]
-SOFT_HYPHENS: list[Step] = [("\u00ad", ""), (r"([A-Za-z0-9_À-ɏ]+)-\n([A-Za-z0-9_À-ɏ]+)", "$1$2")]
+SOFT_HYPHENS: list[Step] = [("\u00ad", ""), (r"([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)", "$1$2")]
 LINE_JOIN: list[Step] = [(rf"([^ \t\r\n\x0B\f])\n([^ \t\r\n\x0B\f])", "$1 $2"), (r"\n{3,}", "\n\n")]
 TRAILING_SPACE: list[Step] = [(rf"{BLANK}+\n", "\n"), (rf"{BLANK}+$", ""), (r"\n{3,}", "\n\n")]
 HTML: list[Step] = [(r"<[^\n>]*>", ""), (r"&[A-Za-z]+;", "")]
-SCIENCE: list[Step] = [(r"\b(?:Eq|Theorem|Lemma)[ \t\r\n]*[0-9]+", "")]
+SCIENCE: list[Step] = [(rf"\b(?:Eq|Theorem|Lemma){SPACE}+[0-9]+\b", "")]
 CITATIONS: list[Step] = [
     (rf"\([A-Z][A-Za-z\-]+(?:,?{SPACE}(?:[A-Z]\.)+)*(?:{SPACE}&{SPACE}[A-Z][A-Za-z\-]+)*,{SPACE}?[0-9]{{4}}[a-z]?\)", ""),
     (rf"\([A-Z][A-Za-z\-]+{SPACE}+et{SPACE}+al\.,{SPACE}*[0-9]{{4}}[a-z]?\)", ""),
@@ -55,6 +55,8 @@ LAYOUT_LINE = (
     rf"|(?i)^{SPACE}*doi:{SPACE}*10\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+$"
 )
 SHORT_LINE = 80
+#: Blocks of a page that name these are no body text.
+BLOCK_WORDS = "title|author|doi|keywords|arxiv|university|faculty|institute|version"
 REFERENCES_LINE = r"(?i)(?:^|\n)[ \t]*(?:references|bibliography|literaturverzeichnis)[ \t]*(?:\n|$)"
 
 
@@ -139,8 +141,34 @@ def sanitise_id(text: Column, size: int = 80) -> Column:
     return F.when(clean == "", F.lit("query")).otherwise(clean)
 
 
+#: What a parser leaves of metadata at the top of a text; each within its line.
+RESIDUAL: list[Step] = [
+    (r"(?im)^[ \t]*(?:table[ \t]+of[ \t]+contents|inhaltsverzeichnis)\b[^\n]*$", ""),
+    (r"(?im)^[ \t]*(?:title|author|authors|keywords)[ \t]*:[^\n]*$", ""),
+    (r"(?im)^[^\n]*\b(?:university|faculty|institute)\b[^\n]*@[^\n]*$", ""),
+    (r"(?im)^[ \t]*(?:doi[ \t]*:|https?://doi\.org/)[^\n]*$", ""),
+    (r"(?im)^[ \t]*arxiv[ \t]*:[^\n]*$", ""),
+    (r"\n{3,}", "\n\n"),
+]
+
+
+def remove_residual_metadata(text: Column) -> Column:
+    """Without lines of contents headings, labelled titles and authors, addresses and identifiers."""
+    return strip(substitute(F.coalesce(text, F.lit("")), RESIDUAL))
+
+
+def relevance_of(judgement: Column) -> Column:
+    """Relevance 0..3 that a judge wrote: in (fenced) JSON, else its first digit 0-3 that stands alone; 0 for none."""
+    plain = strip(F.regexp_replace(F.coalesce(judgement, F.lit("")), "(?i)```(?:json)?", ""))
+    stated = F.get_json_object(plain, "$.relevance").try_cast("int")
+    alone = F.regexp_extract(plain, "(?:^|[^0-9])([0-3])(?:[^0-9]|$)", 1).try_cast("int")
+    return F.coalesce(F.when(stated.between(0, 3), stated), alone, F.lit(0))
+
+
 def clean_query(text: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(text), rf"{SPACE}+", " "))
+    """Lower case, single blanks; null where nothing is left."""
+    plain = strip(F.regexp_replace(F.lower(text), rf"{SPACE}+", " "))
+    return F.when(plain != "", plain)
 
 
 def query_decades(text: Column, low: int = 1900, high: int = 2100) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftloom.functions.vectors import cosine, dot
 
-BLOCK_ROWS = 4096
+#: Bytes of the query vectors that one scan of the corpus carries.
+BLOCK_BYTES = 64_000_000
 
 
 def usable(vectors: DataFrame, vector: str, size: int | None = None) -> DataFrame:
@@ -25,18 +26,19 @@ def knn_search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str =
     A query does not find the row with its own id; ties go to the smaller id.  Scores are rounded
     to six digits before they are compared, so that both sides of a tie are seen as such.
 
-    Scale: queries are taken in blocks of bounded size; for each block one pass multiplies matrices
-    and keeps k rows per query and batch, so the corpus is never shuffled, only its best rows are.
+    Scale: queries are broadcast in blocks of bounded bytes; a block takes one pass over the corpus, in
+    which every partition keeps a running best list.  So k rows for each query and partition are
+    shuffled, however many rows a partition has, and the corpus itself never is.
     """
     spark = corpus.sparkSession
     asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    count = asked.count()
-    blocks = max(1, -(-count // BLOCK_ROWS))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-size.n * (size.d or 1) * 8 // BLOCK_BYTES))
     rows = corpus.select(F.col(vec_id).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"))
     found = None
-    for block in range(blocks):
+    for block in range(blocks if size.n else 0):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
-        taken = part.orderBy("q").collect()
+        taken = part.collect()
         if not taken:
             continue
         ids = np.array([r.q for r in taken], np.int64)
@@ -46,19 +48,23 @@ def knn_search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str =
 
         def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
+            best = np.full((len(ids), k), -np.inf)
             for batch in batches:
                 for start in range(0, batch.num_rows, 2048):
                     piece = batch.slice(start, 2048)
                     own = piece.column(0).to_numpy()
                     x = np.asarray(piece.column(1).flatten()).reshape(-1, matrix.shape[1])
-                    score = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                    best = np.take_along_axis(score, order, 1)
-                    q, place = np.nonzero(best > -np.inf)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[q]), pa.array(own[order[q, place]]), pa.array(best[q, place])], ["query_id", "vec_id", "score"]
-                    )
+                    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    for first in range(0, len(ids), 4096):
+                        q = slice(first, first + 4096)
+                        score = np.round(matrix[q] @ x, 6)
+                        score[ids[q, None] == own[None, :]] = -np.inf
+                        _keep_best(best[q], best_ids[q], score, own, k)
+            q, place = np.nonzero(best > -np.inf)
+            for first in range(0, len(q), 100_000):
+                at = slice(first, first + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[at]]), pa.array(best_ids[q[at], place[at]]), pa.array(best[q[at], place[at]])], ["query_id", "vec_id", "score"])
 
         hits = rows.mapInArrow(multiply, "query_id bigint, vec_id bigint, score double")
         found = hits if found is None else found.unionByName(hits)
@@ -68,6 +74,25 @@ def knn_search(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str =
     return found.withColumn("raw_rank", F.row_number().over(best)).where(F.col("raw_rank") <= k)
 
 
+def _keep_best(best: np.ndarray, best_ids: np.ndarray, score: np.ndarray, own: np.ndarray, k: int) -> None:
+    """Merge new scores into the running best lists, in place; ties go to the smaller id."""
+    # only rows with something at least as good as their last place change
+    rows = np.flatnonzero(score.max(axis=1, initial=-np.inf) >= best[:, -1])
+    if not len(rows):
+        return
+    score = score[rows]
+    if score.shape[1] > 4 * k:  # all that reach the k-th best value, ties included
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        width = int((score >= least[:, None]).sum(axis=1).max())
+        top = np.argpartition(-score, width - 1, axis=1)[:, :width]
+    else:
+        top = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    all_scores = np.concatenate((best[rows], np.take_along_axis(score, top, 1)), axis=1)
+    all_ids = np.concatenate((best_ids[rows], own[top]), axis=1)
+    order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+    best[rows], best_ids[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+
+
 def diversify_sources(hits: DataFrame, k: int, *, query: str = "query_id", source: str = "source_file", rank: str = "raw_rank") -> DataFrame:
     """First the best hit of each source, then the rest, in rank order; k of them with ``rank``."""
     turn = F.row_number().over(W.partitionBy(query, source).orderBy(rank))
