@@ -201,3 +201,15 @@ def specificity(claim: Column) -> Column:
     hits = F.regexp_count(claim, F.lit("[0-9]+")) + F.regexp_count(claim, F.lit("[A-Z][a-z]+"))
     words = F.size(F.filter(F.split(claim, rf"{SPACE}+"), lambda w: w != ""))
     return hits / F.greatest(words, F.lit(5))
+
+
+#: What is asked of a query by its intent; an unknown one counts as conceptual.
+WORDING = {"chronological": "How did this develop over time, in order of years: ", "analytical": "What explains this, and what speaks for it over time: ", "comparative": "How do the views of this differ over time: "}
+
+
+def reformulate(query: Column, intent: Column) -> Column:
+    """The query worded for its intent, without saying "over time" twice."""
+    lead = F.lit("What is meant by this over time: ")
+    for name, words in WORDING.items():
+        lead = F.when(intent == name, F.lit(words)).otherwise(lead)
+    return substitute(F.concat(lead, query), OVER_TIME)

@@ -70,9 +70,8 @@ def bootstrap_means(values: DataFrame, *, value: str, order: str, iterations: in
         return turn, out % n
 
     if n <= most:
-        xs = np.empty(n)
-        for r in placed.toLocalIterator(prefetchPartitions=True):
-            xs[r.at] = r.x
+        known_values, xs = placed.toArrow(), np.empty(n)
+        xs[known_values["at"].to_numpy()] = known_values["x"].to_numpy()
         shared = spark.sparkContext.broadcast(xs)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from driftloom.functions.vectors import cosine, dot
+from driftloom.functions.text import query_decades
+from driftloom.functions.vectors import cosine, dot, temporal_modulation, valid_year
 
 #: Bytes of the query vectors that one scan of the corpus carries.
 BLOCK_BYTES = 64_000_000
@@ -186,3 +187,26 @@ def citation_numbers(hits: DataFrame, *, by_year: Column | None = None, rank: st
     placed = hits.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     first = placed.withColumn("first", F.min("position").over(W.partitionBy("query_id", "source_file")))
     return first.withColumn("citation", F.dense_rank().over(W.partitionBy("query_id").orderBy("first"))).drop("first")
+
+
+def initial_k(final_k: int, oversample: int = 15) -> int:
+    """How many hits a search asks for before reranking: at least eight for each one kept."""
+    return max(final_k * oversample, final_k * 8)
+
+
+def retrieve(hits: DataFrame, k: int, *, most_characters: int = 500) -> tuple[DataFrame, DataFrame]:
+    """``(raw, final)`` of a search's hits with their chunks' columns and the query's text.
+
+    The pipeline: texts cut to ``most_characters``, scores modulated by the years that the query names,
+    one hit for each source in order of the final score, equal texts once, quartile labels, and
+    exactly k rows, the last one repeated if there are fewer.  A query without hits gives no rows.
+    """
+    raw = hits.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, most_characters))
+    years = query_decades(F.coalesce("query_text", F.lit("")))
+    scored = raw.withColumn("final_score", F.round(temporal_modulation(F.col("score"), valid_year(F.col("year")), years), 6))
+    order = [F.desc("final_score"), F.col("vec_id")]
+    key = F.lower(F.coalesce(F.expr("nullif(source_file, '')"), F.expr("nullif(title, '')"), F.lit("unknown")))
+    one = scored.withColumn("key", key).withColumn("own", F.row_number().over(W.partitionBy("query_id", "key").orderBy(*order))).where("own = 1")
+    ranked = one.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    distinct = keep_first_text(ranked, 1 << 30, rank="place")
+    return raw, exact_k(quartile_labels(distinct, score="final_score"), k)

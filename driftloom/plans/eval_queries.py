@@ -8,6 +8,7 @@ from driftloom.functions import text as tx
 from driftloom.functions.vectors import band
 from driftloom.operators import evaluation as ev
 from driftloom.operators.ordering import numbered_within
+from driftloom.sources.readers import raw_pairs
 from driftloom.sources.tables import table
 
 STRICT_YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)"
@@ -36,20 +37,37 @@ def _support(spark: SparkSession, folder: str) -> DataFrame:
     """Each claim with the mean of its three best supports among the final chunks; 0 without chunks."""
     chunks = final_chunks(spark, folder).select("log_id", ev.words_of(F.col("text")).alias("chunk_words"))
     claims = _claims(spark, folder).withColumn("claim_words", ev.words_of(F.col("claim")))
-    each = claims.join(chunks, "log_id", "left").withColumn("s", F.coalesce(ev.overlap_support(F.col("claim_words"), F.col("chunk_words")), F.lit(0.0)))
-    best = each.groupBy("log_id", "model", "claim_no", "claim").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 3).alias("top"))
-    mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
-    return best.select("log_id", "model", "claim_no", "claim", F.round(mean, 9).alias("support"), F.get("top", F.lit(0)).alias("best"))
+    joint = F.size(F.array_intersect("claim_words", "chunk_words"))
+    alike = F.when(joint > 0, joint / F.sqrt(F.size("claim_words") * F.size("chunk_words"))).otherwise(0.0)
+    each = claims.join(chunks, "log_id", "left").withColumn("s", F.coalesce(ev.overlap_support(F.col("claim_words"), F.col("chunk_words")), F.lit(0.0))).withColumn("l", F.coalesce(alike, F.lit(0.0)))
+    top = lambda c: F.slice(F.sort_array(F.collect_list(c), asc=False), 1, 3)
+    best = each.groupBy("log_id", "model", "claim_no", "claim").agg(top("s").alias("top"), top("l").alias("near"))
+    mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c), 9)
+    return best.select("log_id", "model", "claim_no", "claim", mean("top").alias("support"), F.get("top", F.lit(0)).alias("best"), mean("near").alias("likeness"))
 
 
 def fact_filter(spark: SparkSession, folder: str) -> DataFrame:
-    label = band(F.col("best"), (0.5, "keep"), (0.3, "revise"), default="drop")
+    label = band(F.col("best"), (0.22, "keep"), (0.15, "revise"), default="drop")
     return _support(spark, folder).select("log_id", "claim_no", F.round("best", 6).alias("best"), label.alias("label"))
 
 
+def filtered_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers rebuilt from the claims that are kept or to be revised; the answer itself where none is."""
+    claims = _support(spark, folder).where("best >= 0.15").groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("claim_no", "claim"))).alias("c"))
+    rebuilt = F.array_join(F.transform("c", lambda x: x["claim"]), " ")
+    return answers(spark, folder).select("log_id", "answer").join(claims, "log_id", "left").select("log_id", F.coalesce(rebuilt, "answer").alias("answer"), F.coalesce(F.size("c"), F.lit(0)).alias("claims"))
+
+
 def faithfulness(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean over claims of their support less a penalty for facts.
+
+    Support under 0.10 is replaced by the banded likeness of claim and evidence, in which words of the
+    evidence count as well, so that a long one does not hold a claim by chance.
+    """
     penalty = F.least(F.lit(1.0), tx.specificity(F.col("claim"))) * 0.08
-    return _support(spark, folder).groupBy("log_id").agg(F.round(F.avg(F.greatest(F.lit(0.0), F.col("support") - penalty)), 6).alias("faithfulness"), F.count("*").alias("claims"))
+    fallback = band(F.col("likeness"), (0.80, 1.0), (0.55, 0.5), (0.30, 0.25), default=0.0)
+    support = F.when(F.col("support") < 0.10, fallback).otherwise(F.col("support"))
+    return _support(spark, folder).groupBy("log_id").agg(F.round(F.avg(F.greatest(F.lit(0.0), support - penalty)), 6).alias("faithfulness"), F.count("*").alias("claims"))
 
 
 def citation_relevance(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +187,63 @@ def density_grid(spark: SparkSession, folder: str) -> DataFrame:
     return density.crossJoin(peak).select("point", F.round(F.col("d") / F.col("peak") * 0.25, 6).alias("density"))
 
 
+def correlation_p_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Pearson's and Spearman's correlation of both metrics with their two-sided p."""
+    pairs = records(spark, folder).where("ndcg is not null and faithfulness is not null")
+    ranked = ev.average_ranks(ev.average_ranks(pairs, "ndcg", "a"), "faithfulness", "b")
+    found = ranked.agg(F.corr("ndcg", "faithfulness").alias("r"), F.corr("a", "b").alias("rho"), F.count("*").alias("n"))
+    return found.select(F.round("r", 6).alias("r"), F.round(ev.correlation_p_value(F.col("r"), F.col("n")), 6).alias("r_p"), F.round("rho", 6).alias("rho"), F.round(ev.correlation_p_value(F.col("rho"), F.col("n")), 6).alias("rho_p"), F.col("n").alias("pairs"))
+
+
+def histogram_by_span(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins whose edges follow the span of the values: 11 from 0.8 or higher to 1, 14 around a narrow span, else 15 of [0, 1]."""
+    rows = records(spark, folder).where("ndcg is not null").groupBy("ndcg").agg(F.count("*").alias("n"))
+    low, high = F.min("ndcg"), F.max("ndcg")
+    top = (high - low < 0.05) & (high > 0.8)
+    narrow = high - low < 0.2
+    edges = rows.agg(
+        F.when(top, F.greatest(F.lit(0.8), low - 0.01)).when(narrow, F.greatest(F.lit(0.0), low - 0.05)).otherwise(0.0).alias("a"),
+        F.when(top, 1.0).when(narrow, F.least(F.lit(1.0), high + 0.05)).otherwise(1.0).alias("z"),
+        F.when(top, 11).when(narrow, 14).otherwise(15).alias("bins"),
+    )
+    bin_of = F.least(F.floor((F.col("ndcg") - F.col("a")) / (F.col("z") - F.col("a")) * F.col("bins")), F.col("bins") - 1).cast("int")
+    counts = rows.crossJoin(F.broadcast(edges)).groupBy(bin_of.alias("bin")).agg(F.sum("n").alias("n"))  # one row of edges
+    places = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    edge = lambda k: F.round(F.col("a") + (F.col("z") - F.col("a")) * k / F.col("bins"), 6)
+    return places.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def faithfulness_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """The four ways to band faithfulness: missing kept apart or counted as low, strict cuts, six levels."""
+    v = F.col("faithfulness")
+    known = F.coalesce(v, F.lit(0.0))
+    six = F.when(v.isNull(), "missing").when(v >= 0.95, "excellent").when(v >= 0.85, "very high").when(v >= 0.75, "high").when(v >= 0.6, "moderate").when(v >= 0.4, "low").otherwise("very low")
+    ways = {"apart": _band(v), "together": _band(known), "strict": F.when(v.isNull(), "missing").when(v >= 0.8, "high").when(v >= 0.5, "mid").otherwise("low"), "six": six}
+    melted = records(spark, folder).select(F.explode(F.array(*(F.struct(F.lit(name).alias("way"), b.alias("band")) for name, b in ways.items()))).alias("x"))
+    return melted.groupBy("x.way", "x.band").agg(F.count("*").alias("n"))
+
+
+def complete_records(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records have any metric, and how many have both."""
+    rows = records(spark, folder)
+    metrics = ["ndcg", "faithfulness"]
+    return rows.agg(F.count("*").alias("all")).crossJoin(rows.dropna("all", subset=metrics).agg(F.count("*").alias("any"))).crossJoin(rows.dropna("any", subset=metrics).agg(F.count("*").alias("both")))  # one row each
+
+
+def model_union(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the models, one frame for each put together, with their place in their own order."""
+    rows = records(spark, folder)
+    cut = [rows.where(F.col("ndcg") >= 0.5).withColumn("part", F.lit("good")), rows.where(F.col("ndcg").isNull()).withColumn("part", F.lit("none")).drop("ndcg"), rows.where(F.col("ndcg") < 0.5).withColumn("part", F.lit("poor"))]
+    whole = cut[0].unionByName(cut[1], allowMissingColumns=True).unionByName(cut[2])
+    return whole.groupBy("model", "part").agg(F.count("*").alias("records"), F.round(F.avg("ndcg"), 6).alias("mean"))
+
+
+def raw_query_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """How many (query, text) pairs each log gives to calibrate thresholds by."""
+    pairs = raw_pairs(table(spark, folder, "llm_log").select("log_id", "query_refined", "retrieved_chunks_raw").withColumn("query", F.concat(F.coalesce("query_refined", F.lit("")), F.lit("#"), F.col("log_id"))))
+    return pairs.groupBy("query").agg(F.count("*").alias("pairs"), F.sum(F.length("text")).alias("characters"))
+
+
 def summary_table(spark: SparkSession, folder: str) -> DataFrame:
     stats = records(spark, folder).groupBy("model").agg(F.avg("ndcg").alias("m"), F.stddev_samp("ndcg").alias("s"), F.count("ndcg").alias("n"))
     half = F.when(F.col("n") > 1, 1.96 * F.col("s") / F.sqrt("n")).otherwise(0.0)
@@ -202,10 +277,12 @@ _CLAIMS = f"""l AS (SELECT log_id, model, list_filter(list_transform(string_spli
     cl AS (SELECT log_id, model, unnest(claims) AS claim, CAST(unnest(range(len(claims))) AS INT) AS claim_no FROM l)"""
 _WORDS = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'))"
 _OVERLAP = "CASE WHEN len({0}) > 0 THEN len(list_intersect({0}, {1})) / len({0}) ELSE 0 END"
-_SUPPORT = f"""e AS (SELECT cl.log_id, cl.model, claim_no, claim, coalesce({_OVERLAP.format(_WORDS.format("claim"), _WORDS.format("f.text"))}, 0) AS s FROM cl LEFT JOIN (SELECT log_id, text, true AS there FROM f) f ON f.log_id = cl.log_id),
-    top AS (SELECT log_id, model, claim_no, claim, list_slice(list_sort(list(s), 'DESC'), 1, 3) AS t FROM e GROUP BY 1, 2, 3, 4),
-    su AS (SELECT log_id, model, claim_no, claim, round(list_sum(t) / len(t), 9) AS support, t[1] AS best FROM top)"""
-_FAITH = f"fa AS (SELECT log_id, round(avg(greatest(0.0, support - least(1.0, {_SPECIFIC}) * 0.08)), 6) AS faithfulness, count(*) AS claims FROM su GROUP BY 1)"
+_ALIKE = "CASE WHEN len(list_intersect({0}, {1})) > 0 THEN len(list_intersect({0}, {1})) / sqrt(len({0}) * len({1})) ELSE 0 END"
+_SUPPORT = f"""e AS (SELECT cl.log_id, cl.model, claim_no, claim, coalesce({_OVERLAP.format(_WORDS.format("claim"), _WORDS.format("f.text"))}, 0) AS s,
+      coalesce({_ALIKE.format(_WORDS.format("claim"), _WORDS.format("f.text"))}, 0) AS l FROM cl LEFT JOIN (SELECT log_id, text, true AS there FROM f) f ON f.log_id = cl.log_id),
+    top AS (SELECT log_id, model, claim_no, claim, list_slice(list_sort(list(s), 'DESC'), 1, 3) AS t, list_slice(list_sort(list(l), 'DESC'), 1, 3) AS tl FROM e GROUP BY 1, 2, 3, 4),
+    su AS (SELECT log_id, model, claim_no, claim, round(list_sum(t) / len(t), 9) AS support, t[1] AS best, round(list_sum(tl) / len(tl), 9) AS likeness FROM top)"""
+_FAITH = f"fa AS (SELECT log_id, round(avg(greatest(0.0, CASE WHEN support >= 0.1 THEN support WHEN likeness >= 0.8 THEN 1.0 WHEN likeness >= 0.55 THEN 0.5 WHEN likeness >= 0.3 THEN 0.25 ELSE 0.0 END - least(1.0, {_SPECIFIC}) * 0.08)), 6) AS faithfulness, count(*) AS claims FROM su GROUP BY 1)"
 _GAIN = """ng AS (SELECT log_id, relevance AS rel, row_number() OVER (PARTITION BY log_id ORDER BY rank) AS pos, row_number() OVER (PARTITION BY log_id ORDER BY relevance DESC, rank) AS best FROM f),
     nd AS (SELECT log_id, round(CASE WHEN sum(CASE WHEN best <= 5 THEN rel / log2(best + 1) ELSE 0 END) > 0 THEN sum(CASE WHEN pos <= 5 THEN rel / log2(pos + 1) ELSE 0 END) / sum(CASE WHEN best <= 5 THEN rel / log2(best + 1) ELSE 0 END) ELSE 0 END, 6) AS ndcg FROM ng GROUP BY 1)"""
 _BASE = f"WITH {_ANSWERS}, {_FINAL}, {_CLAIMS}"
@@ -216,7 +293,22 @@ _ODD = """({m} < {m}_q1 - 1.5 * ({m}_q3 - {m}_q1) OR {m} > {m}_q3 + 1.5 * ({m}_q
 
 SQL = {
     "claims_split": f"{_BASE} SELECT log_id, claim_no, claim, CAST(nullif(regexp_extract(claim, '{STRICT_YEAR}', 1), '') AS INT) AS claim_year, round({_SPECIFIC}, 6) AS specificity FROM cl",
-    "fact_filter": f"{_BASE}, {_SUPPORT} SELECT log_id, claim_no, round(best, 6) AS best, CASE WHEN best >= 0.5 THEN 'keep' WHEN best >= 0.3 THEN 'revise' ELSE 'drop' END AS label FROM su",
+    "fact_filter": f"{_BASE}, {_SUPPORT} SELECT log_id, claim_no, round(best, 6) AS best, CASE WHEN best >= 0.22 THEN 'keep' WHEN best >= 0.15 THEN 'revise' ELSE 'drop' END AS label FROM su",
+    "filtered_answers": f"""{_BASE}, {_SUPPORT}, k AS (SELECT log_id, string_agg(claim, ' ' ORDER BY claim_no) AS t, CAST(count(*) AS INT) AS n FROM su WHERE best >= 0.15 GROUP BY 1)
+      SELECT a.log_id, coalesce(t, answer) AS answer, coalesce(n, 0) AS claims FROM a LEFT JOIN k USING (log_id)""",
+    "histogram_by_span": f"""{_RECORDS}, v AS (SELECT ndcg FROM r WHERE ndcg IS NOT NULL), m AS (SELECT min(ndcg) AS lo, max(ndcg) AS hi FROM v),
+      g AS (SELECT CASE WHEN hi - lo < 0.05 AND hi > 0.8 THEN greatest(0.8, lo - 0.01) WHEN hi - lo < 0.2 THEN greatest(0.0, lo - 0.05) ELSE 0.0 END AS a, CASE WHEN hi - lo < 0.05 AND hi > 0.8 THEN 1.0 WHEN hi - lo < 0.2 THEN least(1.0, hi + 0.05) ELSE 1.0 END AS z,
+        CASE WHEN hi - lo < 0.05 AND hi > 0.8 THEN 11 WHEN hi - lo < 0.2 THEN 14 ELSE 15 END AS bins FROM m),
+      c AS (SELECT least(CAST(floor((ndcg - a) / (z - a) * bins) AS INT), bins - 1) AS bin, count(*) AS n FROM v CROSS JOIN g GROUP BY 1), p AS (SELECT a, z, bins, unnest(range(bins)) AS bin FROM g)
+      SELECT CAST(p.bin AS INT) AS bin, round(a + (z - a) * p.bin / bins, 6) AS low, round(a + (z - a) * (p.bin + 1) / bins, 6) AS high, coalesce(n, 0) AS n FROM p LEFT JOIN c USING (bin)""",
+    "faithfulness_bands": f"""{_RECORDS}, x AS (SELECT unnest([('apart', {_BAND}), ('together', CASE WHEN faithfulness >= 0.5 THEN 'high' WHEN faithfulness >= 0.25 THEN 'mid' ELSE 'low' END),
+        ('strict', CASE WHEN faithfulness IS NULL THEN 'missing' WHEN faithfulness >= 0.8 THEN 'high' WHEN faithfulness >= 0.5 THEN 'mid' ELSE 'low' END),
+        ('six', CASE WHEN faithfulness IS NULL THEN 'missing' WHEN faithfulness >= 0.95 THEN 'excellent' WHEN faithfulness >= 0.85 THEN 'very high' WHEN faithfulness >= 0.75 THEN 'high' WHEN faithfulness >= 0.6 THEN 'moderate' WHEN faithfulness >= 0.4 THEN 'low' ELSE 'very low' END)]) AS p FROM r)
+      SELECT p[1] AS way, p[2] AS band, count(*) AS n FROM x GROUP BY 1, 2""",
+    "complete_records": f"""{_RECORDS} SELECT count(*) AS "all", count(coalesce(ndcg, faithfulness)) AS "any", count(ndcg + faithfulness) AS both FROM r""",
+    "model_union": f"""{_RECORDS} SELECT model, CASE WHEN ndcg IS NULL THEN 'none' WHEN ndcg >= 0.5 THEN 'good' ELSE 'poor' END AS part, count(*) AS records, round(avg(ndcg), 6) AS mean FROM r GROUP BY 1, 2""",
+    "raw_query_pairs": """WITH p AS (SELECT coalesce(query_refined, '') || '#' || log_id AS query, unnest(retrieved_chunks_raw) AS c FROM llm_log)
+      SELECT query, count(*) AS pairs, CAST(sum(length(c.text)) AS BIGINT) AS characters FROM p WHERE trim(c.text) <> '' GROUP BY 1""",
     "faithfulness": f"{_BASE}, {_SUPPORT}, {_FAITH} SELECT * FROM fa",
     "citation_relevance": f"""{_BASE}, s AS (SELECT log_id, rank, list_contains(list_transform(regexp_extract_all(answer, '\\[([0-9]{{1,4}})\\]', 1), lambda n: CAST(n AS INT)), rank) AS cited, {_OVERLAP.format(_WORDS.format("answer"), _WORDS.format("text"))} AS s FROM f)
       SELECT log_id, rank, cited, round(s, 6) AS likeness, CAST(CASE WHEN cited AND s >= 0.7 THEN 3 WHEN s >= 0.7 THEN 2 WHEN s >= 0.45 THEN 1 ELSE 0 END AS INT) AS relevance FROM s""",
@@ -259,7 +351,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        claims_split, fact_filter, faithfulness, citation_relevance, log_validation, evaluation_records, batch_summary, metric_stats, pearson, spearman, bootstrap_ci,
+        claims_split, fact_filter, filtered_answers, faithfulness, correlation_p_values, histogram_by_span, faithfulness_bands, complete_records, model_union, raw_query_pairs, citation_relevance, log_validation, evaluation_records, batch_summary, metric_stats, pearson, spearman, bootstrap_ci,
         outliers_iqr_z, zscore_outliers, control_chart, bands_by_model, band_counts, histogram, density_grid, summary_table, convergence, event_windows,
     )
 }

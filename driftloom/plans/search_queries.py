@@ -157,8 +157,8 @@ def _prompts(spark: SparkSession, folder: str, text: Column) -> DataFrame:
 
 
 def prompt_compose(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts with the first 200 characters of each chunk, as in the SQL."""
-    return _prompts(spark, folder, F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    """Prompts with the whole text of each chunk."""
+    return _prompts(spark, folder, F.coalesce("text", F.lit("")))
 
 
 def prompt_compose_whole(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,6 +167,32 @@ def prompt_compose_whole(spark: SparkSession, folder: str) -> DataFrame:
     return _prompts(spark, folder, F.when(text == "", "[Empty chunk]").otherwise(text))
 
 
+def retrieve_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """What the whole pipeline finds, before it is cut: the raw list of every query."""
+    return op.retrieve(full_hits(spark, folder, op.initial_k(5, 9)), 5)[0].select("query_id", "vec_id", "score", "raw_rank")
+
+
+def retrieve_final(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pipeline's final list: reranked, diverse, labelled, exactly k."""
+    return op.retrieve(full_hits(spark, folder, op.initial_k(5, 9)), 5)[1].select("query_id", "rank", "vec_id", "final_score", "relevance", "is_pad", "text")
+
+
+def reformulated_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries of the log, worded for their intent; an unknown intent counts as conceptual."""
+    rows = table(spark, folder, "llm_log").select("log_id", tx.clean_query(F.col("query_refined")).alias("q"), F.lower(F.coalesce("intent", F.lit(""))).alias("intent"))
+    return rows.select("log_id", tx.reformulate(F.col("q"), F.col("intent")).alias("query"))
+
+
+def full_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole prompts: instructions, numbered context - by year for chronological queries -, question."""
+    found = full_hits(spark, folder, 5).withColumn("source_file", F.coalesce("source_file", F.lit("unknown"))).withColumnRenamed("raw_rank", "rank")
+    numbered = op.citation_numbers(found, by_year=F.col("query_id") % 100 == 0)
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    line = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.when(text == "", "[Empty chunk]").otherwise(text))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])
+    return numbered.groupBy("query_id").agg(F.concat(F.lit("Answer from the numbered context and cite it as [n].\n\nContext:\n"), F.array_join(lines, "\n"), F.lit("\n\nQuestion: "), F.coalesce(F.first("query_text"), F.lit(""))).alias("prompt"))
+
+
 _V = f"""v AS (SELECT vec_id, chunk_id, vector::DOUBLE[] AS vec FROM chunk_vectors
   WHERE vector IS NOT NULL AND len(vector) = {DIM} AND list_inner_product(vector::DOUBLE[], vector::DOUBLE[]) > 0)"""
 _CH = "ch AS (SELECT chunk_id, min(text) AS text, min(year) AS year, min(title) AS title, min(source_file) AS source_file FROM chunk GROUP BY chunk_id)"
@@ -209,7 +235,25 @@ _CITED = """placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
     firsts AS (SELECT *, min(position) OVER (PARTITION BY query_id, source_file) AS first FROM placed),
     cited AS (SELECT *, CAST(position AS INT) AS pos, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS INT) AS citation FROM firsts)"""
 
+_RETRIEVE = f"""{_full_sql(45)}, y AS (SELECT *, substr(coalesce(text, ''), 1, 500) AS cut_text, CASE WHEN year BETWEEN 1900 AND 2100 THEN year END AS doc_year, {_DECADES.format(t="query_text")} AS decades FROM full_hits),
+    m AS (SELECT *, round(CASE WHEN doc_year IS NULL OR decades IS NULL OR len(decades) = 0 THEN score ELSE score * (1 + 0.3 * exp(-list_min(list_transform(decades, lambda d: abs(d - doc_year))) / 8.0)) END, 6) AS final_score FROM y),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(coalesce(nullif(source_file, ''), nullif(title, ''), 'unknown')) ORDER BY final_score DESC, vec_id) AS own FROM m) WHERE own = 1),
+    x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, trim(regexp_replace(cut_text, '[ \\t\\r\\n]+', ' ', 'g')) ORDER BY final_score DESC, vec_id) AS again FROM u) WHERE again = 1),
+    l AS (SELECT *, quantile_cont(final_score, 0.25) OVER w AS a, quantile_cont(final_score, 0.5) OVER w AS b, quantile_cont(final_score, 0.75) OVER w AS c, min(final_score) OVER w AS lo, max(final_score) OVER w AS hi,
+      row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, vec_id) AS place, count(*) OVER w AS size FROM x WINDOW w AS (PARTITION BY query_id))"""
+
 SQL = {
+    "retrieve_raw": f"WITH {_hits_sql(45)} SELECT query_id, vec_id, score, raw_rank FROM hits",
+    "retrieve_final": f"""WITH {_RETRIEVE}, f AS (SELECT *, unnest(range(place, CASE WHEN place = least(size, 5) THEN 6 ELSE place + 1 END)) AS p FROM l WHERE place <= 5)
+      SELECT query_id, CAST(p AS INT) AS rank, vec_id, final_score, CAST(CASE WHEN lo = hi THEN 1 WHEN final_score <= a THEN 0 WHEN final_score <= b THEN 1 WHEN final_score <= c THEN 2 ELSE 3 END AS INT) AS relevance, p > place AS is_pad, cut_text AS text FROM f""",
+    "reformulated_queries": r"""WITH q AS (SELECT log_id, nullif(regexp_replace(regexp_replace(lower(query_refined), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '') AS q, lower(coalesce(intent, '')) AS i FROM llm_log),
+      w AS (SELECT log_id, CASE i WHEN 'chronological' THEN 'How did this develop over time, in order of years: ' || q WHEN 'analytical' THEN 'What explains this, and what speaks for it over time: ' || q WHEN 'comparative' THEN 'How do the views of this differ over time: ' || q
+        ELSE 'What is meant by this over time: ' || q END AS t FROM q) SELECT log_id, regexp_replace(t, '(?i)(\bover time\b)\s*[,.]?\s*\bover time\b', '\1', 'g') AS query FROM w""",
+    "full_prompts": f"""WITH {_full_sql(5)}, {_CITED.format(order="CASE WHEN query_id % 100 = 0 THEN coalesce(year, 9999) ELSE 0 END")}, s AS (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS plain FROM cited)
+      SELECT query_id, 'Answer from the numbered context and cite it as [n].' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('[' || citation || '] ' || CASE WHEN plain = '' THEN '[Empty chunk]' ELSE plain END, chr(10) ORDER BY pos)
+        || chr(10) || chr(10) || 'Question: ' || coalesce(first(query_text), '') AS prompt FROM s GROUP BY query_id""",
+    "prompt_compose_whole": f"""WITH {_full_sql(5)}, {_CITED.format(order="0")}, s AS (SELECT *, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS plain FROM cited)
+      SELECT query_id, 'Context:' || chr(10) || string_agg('[' || citation || '] ' || coalesce(title, 'untitled') || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || '): ' || CASE WHEN plain = '' THEN '[Empty chunk]' ELSE plain END, chr(10) ORDER BY pos) AS prompt FROM s GROUP BY query_id""",
     "knn_topk": f"WITH {_hits_sql(10)} SELECT * FROM hits",
     "knn_source_diverse": f"""WITH {_full_sql(25)}, f AS (SELECT query_id, vec_id, coalesce(source_file, 'unknown') AS source_file, score, raw_rank FROM full_hits),
       a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, source_file ORDER BY raw_rank) > 1 THEN 1 ELSE 0 END AS again FROM f),
@@ -252,7 +296,7 @@ SQL = {
       SELECT query_id, round(avg(s), 6) AS mean, max(s) AS max, round(median(s), 6) AS median FROM c GROUP BY query_id""",
     "decade_timeline": f"""WITH {_full_sql(20)} SELECT CASE WHEN regexp_matches(CAST(year AS VARCHAR), '^[0-9]{{4}}$') THEN substr(CAST(year AS VARCHAR), 1, 3) || '0s' ELSE 'n/a' END AS decade, count(*) AS n FROM full_hits GROUP BY 1""",
     "citation_numbering": f"""WITH {_full_sql(8)}, {_CITED.format(order="CASE WHEN query_id % 100 = 0 THEN coalesce(year, 9999) ELSE 0 END")} SELECT query_id, vec_id, pos AS position, citation FROM cited""",
-    "prompt_compose": f"""WITH {_full_sql(5)}, {_CITED.format(order="0")} SELECT query_id, 'Context:' || chr(10) || string_agg('[' || citation || '] ' || coalesce(title, 'untitled') || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || '): ' || substr(coalesce(text, ''), 1, 200), chr(10) ORDER BY pos) AS prompt
+    "prompt_compose": f"""WITH {_full_sql(5)}, {_CITED.format(order="0")} SELECT query_id, 'Context:' || chr(10) || string_agg('[' || citation || '] ' || coalesce(title, 'untitled') || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || '): ' || coalesce(text, ''), chr(10) ORDER BY pos) AS prompt
       FROM cited GROUP BY query_id""",
 }
 
@@ -260,6 +304,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_source_diverse, temporal_modulated_search, temporal_rerank_decades, must_include_blacklist, semantic_blend_rerank, dedupe_text_topk, greedy_diversity,
-        relevance_quartiles, exact_k_pad, intent_argmax, calibrate_bands, graded_relevance, ndcg_at_k, ndcg_k_sweep, intrinsic_topk_agg, decade_timeline, citation_numbering, prompt_compose, prompt_compose_whole,
+        relevance_quartiles, exact_k_pad, intent_argmax, calibrate_bands, graded_relevance, ndcg_at_k, ndcg_k_sweep, intrinsic_topk_agg, decade_timeline, citation_numbering, prompt_compose, prompt_compose_whole, retrieve_raw, retrieve_final, reformulated_queries, full_prompts,
     )
 }
