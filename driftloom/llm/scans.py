@@ -38,7 +38,7 @@ CONFUSION_COST = 0.25
 #: Words of the longest line that is furniture as a whole.
 LONGEST_FURNITURE = 16
 _KNOWN = frozenset(CONFUSIONS)
-_PLAIN = str.maketrans({read: true for true, read in CONFUSIONS if not read.isalpha()})
+_PLAIN = {read: true for true, read in CONFUSIONS if not read.isalpha()}
 #: Letters that are read for one another, written as one; then pairs of letters, on those.
 _ALIKE = str.maketrans({"c": "e", "@": "a", "0": "o", "5": "s", "f": "t", "l": "i", "1": "i", "!": "i", "9": "g", "q": "g", "2": "z", "b": "u", "h": "u", "6": "u", "8": "u"})
 _PAIRS_ALIKE = {"rn": "m", "in": "m", "ri": "n", "ii": "u", "ei": "d", "vv": "w", "rm": "nn"}
@@ -56,15 +56,17 @@ _MARK_PAGE = re.compile(r"^(?:(?:page|pages|p\.|seite|s\.|página|pág\.|pagina)
 _ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.IGNORECASE)
 _NUMBERS = re.compile(r"^\s*\d+(?:[.,]\d+)?(?:\s+\d+(?:[.,]\d+)?)*\s*$")
 _PERIODICAL = re.compile(r"^(?:\d+\s+)?(?:notes on|papers in|bulletin of|annals of|journal of|proceedings of|transactions of|studies in|archives of|review of)\s+\S+(?:\s+\S+){0,3}?\s*(?:studies|drift|records|semantics|history|science|sciences|letters|research)?\b", re.IGNORECASE)
+_SIGN = re.compile("[" + "".join(re.escape(read) for _, read in CONFUSIONS if not read.isalpha()) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_SHAPE = re.compile(r"[^a-zà-ÿ]+")
 _DIGITS = re.compile(r"\d+")
+_ANY_MARK = re.compile(f"[{_MARKS}]")
 _ANY_SPACE = re.compile(r"\s{3}|\[")
 
 
 def undigit(word: str) -> str:
     """Digits and signs inside a word replaced by the letters that they are read for."""
-    return word.translate(_PLAIN) if _LETTER.search(word) else word
+    return _SIGN.sub(lambda m: _PLAIN[m[0]], word) if _SIGN.search(word) and _LETTER.search(word) else word
 
 
 def _shape(line: str) -> str:
@@ -81,14 +83,16 @@ def furniture_lines(lines: list[str]) -> set[int]:
     previous = {b: a for a, b in zip(filled, filled[1:])}
     following = {a: b for a, b in zip(filled, filled[1:])}
     # page marks by form
-    styled = [k for k in filled if _MARK_PAGE.match(undigit_numbers(bare[k]))]
+    # (no page mark has more than six words)
+    numbers = {k: undigit_numbers(bare[k]) for k in filled if _DIGITS.search(bare[k]) and len(bare[k].split()) <= 6}
+    styled = [k for k in numbers if _MARK_PAGE.match(numbers[k])]
     roman = [k for k in filled if _ROMAN.match(bare[k]) and len(bare[k]) <= 12]
     found.update(styled)
     found.update(roman)
     # bare numbers: a row of a table if the line before or after holds numbers too
-    singles = [k for k in filled if re.fullmatch(r"\d{1,5}", undigit_numbers(bare[k]))]
+    singles = [k for k, number in numbers.items() if re.fullmatch(r"\d{1,5}", number)]
     tabled = {k for k in singles if any(0 <= j < len(bare) and j not in found and bare[j] and _NUMBERS.match(bare[j]) for j in (k - 1, k + 1))}
-    value = {k: int(undigit_numbers(bare[k])) for k in singles}
+    value = {k: int(numbers[k]) for k in singles}
     # longest run of numbers that follow one another, rather of those outside tables
     ends: dict[int, tuple[tuple[int, int], int]] = {}
     before: dict[int, int | None] = {}
@@ -259,8 +263,10 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
     skip: dict[int, set[tuple[int, int]]] = {}
     broken: dict[int, list[tuple[str, str, str]]] = {}
     for n, line in enumerate(body):
+        if not _ANY_MARK.search(line):
+            continue
         matches = [(m, None) for m in _BROKEN_INSIDE.finditer(line)]
-        end = _BROKEN_END.search(line)
+        end = _BROKEN_END.search(line) if line.rstrip()[-1:] in _MARKS else None
         if end and later[n] is not None:
             matches.append((end, later[n]))
         for m, target in matches:
@@ -274,11 +280,13 @@ def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[
             skip.setdefault(n, set()).add(m.span(1))
             skip.setdefault(where, set()).add((offset + second.start(1), offset + second.end(1)))
     for n, line in enumerate(lines):
-        words, halves = [], {k for a, b in skip.get(n, ()) for k in range(a, b)}
-        for m in _WORD.finditer(body[n]):
-            if m.start() not in halves and m.end() - 1 not in halves:
-                words.append(m[0].casefold().replace("’", "'"))
-        compounds = [c.casefold().replace("‐", "-").replace("‑", "-") for c in _COMPOUND.findall(body[n])]
+        halves = {k for a, b in skip.get(n, ()) for k in range(a, b)}
+        if halves:
+            found = [m[0] for m in _WORD.finditer(body[n]) if m.start() not in halves and m.end() - 1 not in halves]
+        else:
+            found = _WORD.findall(body[n])
+        words = " ".join(found).casefold().replace("’", "'").split(" ") if found else []
+        compounds = [c.casefold().replace("‐", "-").replace("‑", "-") for c in _COMPOUND.findall(body[n])] if _ANY_MARK.search(body[n]) else []
         rest = (line[: len(line) - len(line.lstrip())] + body[n] if body[n] else "") if n in noise else None
         yield n + 1, n in noise, line, rest, words, broken.get(n, []), compounds
 
