@@ -55,11 +55,13 @@ _BROKEN_INSIDE = re.compile(rf"(?<![^\W_])((?:[^\W_]|[@!](?=\w))+(?:[-‐‑](?:
 _MARK_PAGE = re.compile(r"^(?:(?:page|pages|p\.|seite|s\.|página|pág\.|pagina)\s*\d{1,5}(?:\s*(?:of|von|de|sur|/)\s*\d{1,5})?|[-–—]\s*\d{1,5}\s*[-–—]|\[\s*\d{1,5}\s*\])$", re.IGNORECASE)
 _ROMAN = re.compile(r"^(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.IGNORECASE)
 _NUMBERS = re.compile(r"^\s*\d+(?:[.,]\d+)?(?:\s+\d+(?:[.,]\d+)?)*\s*$")
-_PERIODICAL = re.compile(r"^(?:\d+\s+)?(?:notes on|papers in|bulletin of|annals of|journal of|proceedings of|transactions of|studies in|archives of|review of)\s+\S+(?:\s+\S+){0,3}?\s*(?:studies|drift|records|semantics|history|science|sciences|letters|research)?\b", re.IGNORECASE)
+_PERIODICAL = re.compile(r"^(?:\d+\s+)?(?:notes on|papers in|bulletin of|annals of|journal of|proceedings of|transactions of|studies in|archives of|review of)\s+\S+\b", re.IGNORECASE)
 _SIGN = re.compile("[" + "".join(re.escape(read) for _, read in CONFUSIONS if not read.isalpha()) + "]")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_SHAPE = re.compile(r"[^a-zà-ÿ]+")
 _DIGITS = re.compile(r"\d+")
+#: One part of a broken word, as the patterns above have it.
+_HALF_WORD = re.compile(r"(?:[^\W_]|[@!](?=\w))+")
 _ANY_MARK = re.compile(f"[{_MARKS}]")
 _ANY_SPACE = re.compile(r"\s{3}|\[")
 
@@ -178,8 +180,9 @@ def _beside(k: int, previous: dict, following: dict, marks: set[int], title_at:
     return previous.get(k) in marks or following.get(k) in marks or (title_at is not None and k < title_at)
 
 
-def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
-    """For each line of a cleaned text the positions of its words that are furniture of the scan.
+def _spans_of(lines: list[str], source: list[str], marks: set[int]) -> list[set[int]]:
+    """For each line of a cleaned text the positions of its words that are furniture of the scan,
+    whose lines and furniture are given.
 
     A line in the form of furniture goes as a whole only if it is no longer than furniture can be:
     a cleaned text may be one line, of which only the words of the scan's furniture go.
@@ -190,10 +193,8 @@ def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
     for n in whole:
         size = len(lines[n].split())
         spans[n].update(range(size) if size <= LONGEST_FURNITURE else ())
-    if not parsed or not tokens:
+    if not source or not tokens:
         return spans
-    source = parsed.split("\n")
-    marks = furniture_lines(source)
     words = [line.split() for line in source]
     # the word of prose before and after each line
     before_of: list[str | None] = []
@@ -236,49 +237,82 @@ def _spans_of(lines: list[str], parsed: str | None) -> list[set[int]]:
     return spans
 
 
+def _broken_of(body: list[str]) -> Iterator[tuple[int, tuple[int, int], int, tuple[int, int], str]]:
+    """(line, span of the first half, line, span of the second half, mark) of words that a hyphen breaks
+    at the end of a line or before a blank; lines of furniture are given as empty ones."""
+    later: dict[int, int | None] = {}
+    last = None
+    for n in range(len(body) - 1, -1, -1):
+        later[n] = last
+        if body[n].strip():
+            last = n
+    for n, line in enumerate(body):
+        if not _ANY_MARK.search(line):
+            continue
+        matches = [(m, n, m.end()) for m in _BROKEN_INSIDE.finditer(line)]
+        end = _BROKEN_END.search(line) if line.rstrip()[-1:] in _MARKS else None
+        if end and later[n] is not None:
+            matches.append((end, later[n], 0))
+        for m, where, offset in matches:
+            second = re.match(rf"\W*?({_HALF_WORD.pattern})", body[where][offset:])
+            if second:
+                yield n, m.span(1), where, (offset + second.start(1), offset + second.end(1)), m[2]
+
+
+def _parted_of(body: list[str], halves: dict[tuple[str, str], tuple[str, str]]) -> Iterator[tuple[int, tuple[int, int], int, tuple[int, int], str]]:
+    """As :func:`_broken_of`: words that the scan broke and whose mark a cleaner took away, so that a
+    blank or the end of the line is left between their halves."""
+    if not halves:
+        return
+    heads = {a for a, _ in halves}
+    last = None  # line and span of the last word, if only blanks follow it
+    for n, line in enumerate(body):
+        for m in _HALF_WORD.finditer(line):
+            between = line[last[1][1] : m.start()] if last and last[0] == n else line[: m.start()]
+            if last and not between.strip() and (head := body[last[0]][slice(*last[1])]) in heads and (head, m[0]) in halves:
+                first, mark = halves[head, m[0]]
+                start = last[1][1] - len(first)
+                start = start if start >= 0 and body[last[0]][start : last[1][1]] == first else last[1][0]
+                yield last[0], (start, last[1][1]), n, m.span(), mark
+            last = (n, m.span())
+        if last and last[0] == n and line[last[1][1] :].strip():
+            last = None
+
+
 def read_lines(text: str | None, parsed: str | None, cleaned: bool) -> Iterator[tuple]:
     """(line number, furniture, text, rest, words, broken words, compounds) of each line.
 
     The rest is what furniture leaves of its line, null for a line without any.
 
     Words are those of the running text in lower case; the halves of broken words are not among
-    them.  A broken word is (first half with what is before it, second half, mark).
+    them.  A broken word is (first half with what is before it, second half, mark); in a cleaned text
+    also one that its scan breaks and of which the cleaner left both halves without the mark.
     """
     if not text:
         return
     lines = text.split("\n")
     if cleaned:
-        spans = _spans_of(lines, parsed)
+        source = parsed.split("\n") if parsed else []
+        marks = furniture_lines(source)
+        spans = _spans_of(lines, source, marks)
         noise = {n for n, s in enumerate(spans) if s} | furniture_lines(lines)
         body = [" ".join(w for k, w in enumerate(line.split()) if k not in spans[n]) if spans[n] else line for n, line in enumerate(lines)]
+        source = ["" if n in marks else line for n, line in enumerate(source)]
+        halves_of = {}
+        for n, first, where, second, mark in _broken_of(source):
+            whole = source[n][slice(*first)]
+            halves_of[re.split("[-‐‑]", whole)[-1], source[where][slice(*second)]] = (whole, mark)
+        parted = list(_parted_of(body, halves_of))
     else:
         noise = furniture_lines(lines)
         body = ["" if n in noise else line for n, line in enumerate(lines)]
-    later = {}
-    last = None
-    for n in range(len(lines) - 1, -1, -1):
-        later[n] = last
-        if body[n].strip():
-            last = n
+        parted = []
     skip: dict[int, set[tuple[int, int]]] = {}
     broken: dict[int, list[tuple[str, str, str]]] = {}
-    for n, line in enumerate(body):
-        if not _ANY_MARK.search(line):
-            continue
-        matches = [(m, None) for m in _BROKEN_INSIDE.finditer(line)]
-        end = _BROKEN_END.search(line) if line.rstrip()[-1:] in _MARKS else None
-        if end and later[n] is not None:
-            matches.append((end, later[n]))
-        for m, target in matches:
-            where = n if target is None else target
-            rest = body[where][m.end() :] if target is None else body[where]
-            second = re.match(r"\W*?((?:[^\W_]|[@!](?=\w))+)", rest)
-            if not second:
-                continue
-            offset = m.end() if target is None else 0
-            broken.setdefault(n, []).append((m[1].casefold(), second[1].casefold(), m[2]))
-            skip.setdefault(n, set()).add(m.span(1))
-            skip.setdefault(where, set()).add((offset + second.start(1), offset + second.end(1)))
+    for n, first, where, second, mark in [*_broken_of(body), *parted]:
+        broken.setdefault(n, []).append((body[n][slice(*first)].casefold(), body[where][slice(*second)].casefold(), mark))
+        skip.setdefault(n, set()).add(first)
+        skip.setdefault(where, set()).add(second)
     for n, line in enumerate(lines):
         halves = {k for a, b in skip.get(n, ()) for k in range(a, b)}
         if halves:
@@ -442,7 +476,12 @@ def _scan_distance(limit: float):
 
 def _mixed(word):
     """Whether a word mixes letters with digits or signs other than in 1910s or 2nd."""
-    return word.rlike(r"[^\W\d_]") & word.rlike(r"[\d@!]") & ~word.rlike(r"^\d+(s|er|e|ers|th|st|nd|rd|ern|a|o|bis)?$") & ~word.rlike(r"^[a-zà-ÿ]\d{1,3}$")
+    return word.rlike(r"[^\W\d_]") & word.rlike(r"[\d@!]") & ~word.rlike(r"^\d+(s|er|e|ers|th|st|nd|rd|ern|a|o|bis)?$") & ~word.rlike(r"^[a-zà-ÿ]\d{1,3}$") | _year_like(word)
+
+
+def _year_like(word):
+    """A year with one digit read as a letter: ``l855``, ``186o``."""
+    return word.rlike(r"^[il][5-9]\d{2}$|^(1[5-9]\d|20[0-2])o$|^(1[5-9]\d|20[12])s$")
 
 
 def misread_words(lines: DataFrame, lexicon: DataFrame | None = None, *, ratio: float = 8.0, near_ratio: float = 3.0, limit: float = 0.8) -> DataFrame:
@@ -482,7 +521,7 @@ def misread_words(lines: DataFrame, lexicon: DataFrame | None = None, *, ratio:
     tried = tried.withColumn("score", F.log("true_n") + 2 * F.log1p(together) - 4 * F.col("cost")).where(mixed | (F.col("true").isNotNull() & (frequent | known)))
     best = tried.groupBy(*_KEY, "word").agg(F.max_by("true", F.struct("score", "true")).alias("repair"))
     plain = F.translate("word", "0156!@9", "olsbiag")
-    return best.withColumn("repair", F.coalesce("repair", plain))
+    return best.withColumn("repair", F.when(_year_like(F.col("word")), F.translate("word", "ilos", "1105")).otherwise(F.coalesce("repair", plain)))
 
 
 def broken_words(lines: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -590,16 +629,15 @@ def _rebuild(lines: list[tuple]) -> str:
         gap = False
         text = line.strip()
         for (first, second), whole in joins.items():
-            text = re.sub(rf"{re.escape(first)}[{_MARKS}]\s+{re.escape(second)}", lambda m, whole=whole: _like(whole, m[0].split()[0].rstrip(_MARKS)), text, flags=re.IGNORECASE)
+            text = re.sub(rf"(?<!\w){re.escape(first)}[{_MARKS}]?\s+{re.escape(second)}(?!\w)", lambda m, whole=whole: _like(whole, m[0].split()[0].rstrip(_MARKS)), text, flags=re.IGNORECASE)
         begun = re.match(r"\W*?((?:[^\W_]|[@!](?=\w))+)", text)
-        if current and current[-1:] in _MARKS and pending and begun:
-            bare = current.rstrip(_MARKS + " ")
-            halves = [(first, whole) for (first, second), whole in pending.items() if second == begun[1].casefold() and bare.casefold().endswith(first)]
-            if halves:  # the whole word in place of both halves
-                first, whole = max(halves, key=lambda h: len(h[0]))
-                current = bare[: len(bare) - len(first)] + _like(whole, bare[len(bare) - len(first) :]) + text[begun.end() :]
-            else:
-                current = current[:-1] + text
+        bare = current.rstrip(_MARKS + " ")
+        halves = [(first, whole) for (first, second), whole in pending.items() if begun and second == begun[1].casefold() and bare.casefold().endswith(first)] if current else []
+        if halves:  # the whole word in place of both halves
+            first, whole = max(halves, key=lambda h: len(h[0]))
+            current = bare[: len(bare) - len(first)] + _like(whole, bare[len(bare) - len(first) :]) + text[begun.end() :]
+        elif current and current[-1:] in _MARKS and pending and begun:
+            current = current[:-1] + text
         else:
             current = f"{current} {text}".strip() if not (current and current[-1:] == "-") else current + text
         tail = text.casefold().rstrip(_MARKS + " ")

@@ -110,6 +110,23 @@ def test_cleaned_text_of_one_line():
     assert noise and rest == line and words.count("vocabulary") == 2
 
 
+def test_mark_taken_away_by_a_cleaner(spark):
+    """A word that the scan broke is still broken where a cleaner left a blank or a line end for its hyphen."""
+    cleaned = [(1, 1000, "Readers met the mecha nism and more.\nThe g1acier was des\ncribed by compilers."), (2, None, "Readers met the mecha nism."), (3, 1000, "Readers met the mecha, nism and the mechanism.")]
+    parsed, clean = frames(spark, [*corpus(), (1000, NOISY)], cleaned)
+    found = {tuple(r) for r in find_noise(parsed, clean).where("field_name = 'cleaned_text' and kind = 'hyphen'").select("record_id", "line_no").collect()}
+    assert found == {(1, 1), (1, 2)}
+    fixed = repair_fields(parsed, clean).where("field_name = 'cleaned_text' and record_id = 1").first().text
+    assert fixed == "Readers met the mechanism and more. The glacier was described by compilers."
+
+
+def test_misread_years(spark):
+    rows = [(1000, "Dated\n\nIn l855 and in 186o, or 188s, readers met item a12 and x855 in the 1990s, and 100s of more.")]
+    parsed, _ = frames(spark, [*corpus(), *rows])
+    assert [tuple(r) for r in find_noise(parsed, frames(spark, [])[1]).where("record_id = 1000").collect()] == [(1000, "text", 3, "misread")]
+    assert "In 1855 and in 1860, or 1885, readers met item a12 and x855 in the 1990s, and 100s of more." in repair_texts(parsed).where("parse_id = 1000").first().text
+
+
 def test_nothing(spark):
     assert find_noise(*frames(spark, [])).count() == 0
     assert find_noise(*frames(spark, [(1, None), (2, ""), (3, "\n\n"), (3, "\n\n"), (4, "x" * 300_000)])).count() == 0
