@@ -28,12 +28,12 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_defects(table(spark, folder, "llm_log"))
+    return find_defects(table(spark, folder, "llm_log"), table(spark, folder, "documents"))
 
 
 def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """What shows that each truncated response is one."""
-    return truncation_evidence(table(spark, folder, "llm_log"))
+    return truncation_evidence(table(spark, folder, "llm_log"), table(spark, folder, "documents"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

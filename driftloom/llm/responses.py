@@ -11,7 +11,8 @@ space.  Five defects are told apart:
   where the longer one goes on inside the same sentence, line or list; unfinished-looking responses
   whose length is one at which the model's responses pile up (a length limit); and where neither can
   tell, as a text may be cut anywhere and its whole be written nowhere, an open ending.
-* ``language``  - stop words of another language than the query asks for, or is written in.
+* ``language``  - words of another language than the query asks for, or is written in, by weights that
+  are trained on labelled texts, and for words of questions on queries with the language of their responses.
 
 :func:`truncation_evidence` tells which evidence each truncated response has.
 
@@ -29,23 +30,22 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from driftloom.llm.languages import CODES, Weights, fit_languages, language_of, scores_of
 from driftloom.plans.lineage import cut
 from driftloom.plans.spread import spread
 
-# Frequent words that tell the four languages of the corpus apart.
+# Function words of four languages, used where no labelled texts are given.
 STOP_WORDS = {
-    "en": "the of and to in is was were are that it its with for as by on from this than when which but not has have had they their been more an at or into between what did why how does still used first mention role play about before after known over time most such only our we around main points far yes no with each new both neither nor because".split(),
-    "de": "der die das und ist war von den dem des ein eine einen einer zu mit für auf nicht sich auch als wie bei aus dass noch seit nach zwischen haben hat wird wurde werden sind im in an über vor um gegen neben schon kaum oder wenn gerade damit wichtige punkte etwa jahren welche rolle warum vergleiche rede wann weder jene erst insgesamt dazu ich diese kann leider".split(),
-    "fr": "le la les des du de et est une un dans pour par sur au aux que qui avec ce ces sont était a ont été entre depuis selon pas ne plus il se comment pourquoi quel rôle sans années environ nous vers points principaux cette en malgré tandis ainsi ni où je vous à désigne encore".split(),
-    "es": "el la los las de del y es una un en para por con que se su sus entre desde según no más al lo como fueron era han hacia cerca puntos principales cómo qué papel cuándo unas unos sobre todo años sin pesar ni también hemos donde junto esta esto apenas todavía así embargo".split(),
+    "en": "the of and to in is was were are that it its with for as by on from this than when which but not has have had they their been more an at or into between what did why how does still first about before after over only our we each both".split(),
+    "de": "der die das und ist war von den dem des ein eine einen einer zu mit für auf nicht sich auch als wie bei aus dass noch seit nach zwischen haben hat wird wurde werden sind im in an über vor um gegen schon oder wenn warum wann welche ich diese kann".split(),
+    "fr": "le la les des du de et est une un dans pour par sur au aux que qui avec ce ces sont était a ont été entre depuis selon pas ne plus il se comment pourquoi quel sans nous vers cette en ni où je vous à".split(),
+    "es": "el la los las de del y es una un en para por con que se su sus entre desde según no más al lo como fueron era han hacia cómo qué cuándo unas unos sobre todo sin ni también donde esta".split(),
 }
-_LANGUAGE_NAMES = {
-    "en": ("english", "englisch", "anglais", "inglés", "ingles"),
-    "de": ("german", "deutsch", "allemand", "alemán", "aleman"),
-    "fr": ("french", "französisch", "français", "francés", "frances"),
-    "es": ("spanish", "spanisch", "espagnol", "español", "espanol"),
-}
-_NAMED = {name: code for code, names in _LANGUAGE_NAMES.items() for name in names}
+#: A word counts for the languages that list it, and against the others.
+STOP_WEIGHTS: Weights = {w: {code: 0.0 if w in stops else -2.0 for code, stops in STOP_WORDS.items()} for words in STOP_WORDS.values() for w in words}
+#: By so much in logarithms a query must lead with its language, and a response with another one.
+_LEAD_OF_QUERY, _LEAD_OF_RESPONSE = 1.0, 2.0
+_NAMED = {name: code for name, code in CODES.items() if len(name) > 3}
 _REQUEST = re.compile(
     r"[\s,.;?!¿¡()-]{0,20}\b(?:please\s+|bitte\s+|por favor\s+|s'il vous plaît\s+)?"
     r"(?:(?:reply|answer|respond|write)\s+in|(?:antworte\w*|schreib\w*)?\s*(?:bitte\s+)?auf|(?:réponds|répondez|répondre)\s+en|(?:responde|responda|contesta|conteste)\s+en)\s+"
@@ -93,17 +93,13 @@ _PAIR = re.compile(r"^\s*\S[^.:\n]{0,60}:\s*\S{1,24}\s*$")
 _BULLET = re.compile(r"^\s*(?:[*•·-]|\d+[.)])\s+(\S.*)$")
 
 
-def _language(words: list[str]) -> Counter:
-    seen = Counter(words)
-    return Counter({code: sum(seen[w] for w in stops) for code, stops in STOP_WORDS.items()})
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _TOKEN.findall(text)]
 
 
-def _expected_language(query: str) -> str | None:
+def _expected_language(query: str, weights: Weights) -> str | None:
     asked = list(_REQUEST.finditer(query))
-    if asked:
-        return _NAMED[asked[-1][1].lower()]
-    scores = _language([w.lower() for w in _TOKEN.findall(query)]).most_common(2)
-    return scores[0][0] if scores[0][1] > scores[1][1] else None
+    return _NAMED[asked[-1][1].lower()] if asked else language_of(_words(query), weights, _LEAD_OF_QUERY)
 
 
 def _is_copy(query: str, response: str) -> bool:
@@ -153,7 +149,7 @@ def _ending(response: str) -> str:
     return "open"
 
 
-def judge(query: str | None, response: str | None) -> tuple[str, str]:
+def judge(query: str | None, response: str | None, weights: Weights = STOP_WEIGHTS) -> tuple[str, str]:
     """The defects that the pair itself shows, joined by commas, and how the response ends."""
     query, text = query or "", (response or "").replace("\u200b", "").replace("\ufeff", "").strip()
     bare = _LABEL.sub("", _TAG.sub("", text))
@@ -165,11 +161,10 @@ def judge(query: str | None, response: str | None) -> tuple[str, str]:
     if _is_refusal(text):
         defects.append("refusal")
     ending = _ending(text)
-    expected = _expected_language(query)
+    expected = _expected_language(query, weights)
     if expected:
-        scores = _language([w.lower() for w in _TOKEN.findall(text)])
-        best, most = scores.most_common(1)[0]
-        if best != expected and most >= 1 and scores[expected] * 2 <= most:
+        scores = scores_of(_words(bare), weights)
+        if scores and max(scores.values()) - scores[expected] >= _LEAD_OF_RESPONSE:
             defects.append("language")
     return ",".join(defects), ending
 
@@ -221,8 +216,22 @@ def _shortened(distinct: DataFrame, partitions: int) -> DataFrame:
     return found.where("kind = 'prefix'").select("h").unionByName(across).distinct()
 
 
+def _trained(rows: DataFrame, labelled: DataFrame | None) -> Weights:
+    """Weights of words of labelled texts, and of words that only queries use."""
+    weights = fit_languages(labelled) if labelled is not None else {}
+    if not weights:
+        return STOP_WEIGHTS
+
+    @F.pandas_udf("string")
+    def answered_in(query: pd.Series, response: pd.Series) -> pd.Series:
+        return pd.Series([None if not q or not r or _REQUEST.search(q) else language_of(_words(r), weights, _LEAD_OF_RESPONSE) for q, r in zip(query, response)], dtype=object)
+
+    queries = rows.select("log_id", F.col("query").alias("text"), answered_in("query", "response").alias("lang"))
+    return {**fit_languages(queries, key="log_id"), **weights}
+
+
 def _judged(
-    logs: DataFrame, *, log_id: str, query: str, model: str, output: str, answer: str, partitions: int | None, spike: float, least_spike: int
+    logs: DataFrame, labelled: DataFrame | None, *, log_id: str, query: str, model: str, output: str, answer: str, partitions: int | None, spike: float, least_spike: int
 ) -> DataFrame:
     """Each log entry with its defects and the evidence for its truncation."""
     blank = F.coalesce(F.regexp_replace(F.col(output), r"(?U)\s", ""), F.lit("")) == ""
@@ -233,9 +242,11 @@ def _judged(
         F.when(blank, F.col(answer)).otherwise(F.col(output)).cast("string").alias("response"),
     )
 
+    weights = _trained(rows, labelled)
+
     @F.pandas_udf("defects string, ending string")
     def judged(query: pd.Series, response: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(q, r) for q, r in zip(query, response)], columns=["defects", "ending"])
+        return pd.DataFrame([judge(q, r, weights) for q, r in zip(query, response)], columns=["defects", "ending"])
 
     rows = spread(rows).withColumn("response", F.rtrim("response")).withColumn("h", F.xxhash64("response")).withColumn("j", judged("query", "response"))
     rows = cut(rows.select("log_id", "model", "h", F.length("response").alias("size"), "response", "j.*"))
@@ -257,6 +268,7 @@ def _judged(
 
 def find_defects(
     logs: DataFrame,
+    labelled: DataFrame | None = None,
     *,
     log_id: str = "log_id",
     query: str = "query_refined",
@@ -269,6 +281,8 @@ def find_defects(
 ) -> DataFrame:
     """``(log_id, defect)``: one row for each defect of each log entry.
 
+    ``labelled``: texts with their languages (``doc_id, text, lang``), of which some 20,000 train the
+    weights of words; without them lists of function words are used.
     ``spike``: a length is a limit of a model if at least ``least_spike`` unfinished responses have
     it and ``spike`` times as many as the mean of the ten lengths around.  ``partitions``: of the
     sorted responses, by default from their bytes.  Defined cases: null or blank in both response
@@ -276,7 +290,7 @@ def find_defects(
     judged twice; repeated rows give repeated results only under different ids; further columns are
     ignored; an empty table gives an empty result.
     """
-    rows = _judged(logs, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
+    rows = _judged(logs, labelled, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
     cut_off = F.col("longer_neighbour") | F.col("length_limit") | F.col("open_ending")
     defects = F.array_union(
         F.filter(F.split("defects", ","), lambda d: d != ""), F.when(cut_off, F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
@@ -286,6 +300,7 @@ def find_defects(
 
 def truncation_evidence(
     logs: DataFrame,
+    labelled: DataFrame | None = None,
     *,
     log_id: str = "log_id",
     query: str = "query_refined",
@@ -297,5 +312,5 @@ def truncation_evidence(
     least_spike: int = 12,
 ) -> DataFrame:
     """``(log_id, longer_neighbour, length_limit, open_ending)`` of every truncated response of :func:`find_defects`."""
-    rows = _judged(logs, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
+    rows = _judged(logs, labelled, log_id=log_id, query=query, model=model, output=output, answer=answer, partitions=partitions, spike=spike, least_spike=least_spike)
     return rows.where("longer_neighbour or length_limit or open_ending").select("log_id", "longer_neighbour", "length_limit", "open_ending").distinct()
