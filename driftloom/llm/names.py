@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -41,7 +42,6 @@ NICKNAMES = {
     "zhenya": ["yevgenia"], "eugenia": ["yevgenia"], "tina": ["valentina", "christina"], "vale": ["valentina"], "liz": ["elizabeth"], "beth": ["elizabeth"], "lisa": ["elizabeth"], "betty": ["elizabeth"], "eliza": ["elizabeth"],
     "jim": ["james"], "jack": ["john"], "dick": ["richard"], "rick": ["richard"], "tom": ["thomas"], "mike": ["michael"], "dave": ["david"], "dan": ["daniel"], "sam": ["samuel"], "tony": ["anthony"], "joe": ["joseph"], "ed": ["edward"], "ben": ["benjamin"],
 }
-_GIVEN = sorted({full for names in NICKNAMES.values() for full in names})
 _TYPES = {
     "academy": ("acad",), "institute": ("inst",), "university": ("univ", "uni"), "observatory": ("obs",), "laboratory": ("lab", "labs"), "department": ("dept", "dep"),
     "collaboration": ("collab", "coll"), "center": ("centre", "cent", "ctr"), "society": ("soc",), "museum": ("mus",), "college": (), "school": ("sch",), "library": ("lib",),
@@ -75,7 +75,26 @@ def _letters(word: str) -> str:
     return _NOT_LETTER.sub("", word.translate(_DIGITS) if _LETTER.search(word) else word)
 
 
-def parse_name(name: str | None) -> dict | None:
+class GivenNames:
+    """What is known of given names: a table of short forms and the names that they stand for."""
+
+    def __init__(self, table: Mapping[str, Sequence[str]]):
+        self.table = {_letters(_fold(short)): tuple(_letters(_fold(full)) for full in names) for short, names in table.items()}
+        self.full = sorted({full for names in self.table.values() for full in names})
+
+    def forms(self, given: str) -> set[str]:
+        """A given name and all that it may stand for."""
+        return {given, *self.table.get(given, ())}
+
+    def known(self, name: str) -> bool:
+        """A usual short form, or (nearly) a name that has one."""
+        return name in self.table or any(near(name, full) for full in self.full)
+
+
+USUAL = GivenNames(NICKNAMES)
+
+
+def parse_name(name: str | None, names: GivenNames = USUAL) -> dict | None:
     """Kind, family names, given names, further initials and topic of a spelling; None for nobody."""
     if name is None:
         return None
@@ -91,7 +110,7 @@ def parse_name(name: str | None) -> dict | None:
     types = [k for k, w in enumerate(plain) if w in _TYPE_OF]
     if types and ({"for", "of", "f"} & set(plain) or ":" in words):
         return _organisation(text)
-    return _person(text)
+    return _person(text, names)
 
 
 def _organisation(text: str) -> dict | None:
@@ -113,7 +132,7 @@ def _organisation(text: str) -> dict | None:
     return {"kind": "org", "last": [place], "first": [kinds[-1]], "more": [], "topic": " ".join(words)}
 
 
-def _person(text: str) -> dict | None:
+def _person(text: str, names: GivenNames) -> dict | None:
     text = re.sub(r"\b(ph\.\s?d|[mb]\.\s?sc)\b\.?", lambda m: _letters(m[1]), text)
     parts = [p for p in (q.strip() for q in text.split(",")) if p]
     # "M.A." behind a full name is a degree, behind a family name two initials
@@ -145,7 +164,7 @@ def _person(text: str) -> dict | None:
             while rest and short(rest[0]) and len(rest) > 1:
                 given.append(rest.pop(0))
             last, flip = rest, int(len(tokens) > 1 and len(given) == 1)
-            if flip and _known_given("".join(map(_letters, last))) and not _known_given(_letters(given[0])):
+            if flip and names.known("".join(map(_letters, last))) and not names.known(_letters(given[0])):
                 last, given, flip = given, last, 0
     family = "".join(map(_letters, last))
     if not family:
@@ -167,20 +186,11 @@ def near(a: str, b: str, least: int = 5) -> bool:
     return a[1:] == b[1:] or a[1:] == b or a == b[1:] or (len(a) > 1 and len(b) > 1 and a[0] == b[1] and a[1] == b[0] and a[2:] == b[2:])
 
 
-def _known_given(name: str) -> bool:
-    """A usual short form, or (nearly) a name that has one."""
-    return name in NICKNAMES or any(near(name, full) for full in _GIVEN)
-
-
-def full_forms(given: str) -> set[str]:
-    return {given, *NICKNAMES.get(given, ())}
-
-
-def _given_fit(a: str, b: str) -> bool:
+def _given_fit(a: str, b: str, names: GivenNames) -> bool:
     if not a or not b or len(a) == 1 or len(b) == 1:
-        return not a or not b or any(x[0] == y[0] for x in full_forms(a) for y in full_forms(b))
-    for x in full_forms(a):
-        for y in full_forms(b):
+        return not a or not b or any(x[0] == y[0] for x in names.forms(a) for y in names.forms(b))
+    for x in names.forms(a):
+        for y in names.forms(b):
             if near(x, y) or (min(len(x), len(y)) >= 2 and (x.startswith(y) or y.startswith(x))):
                 return True
     return False
@@ -196,7 +206,7 @@ def _topics_fit(a: str, b: str, place_a: str, kind_a: str | None, kind_b: str |
     return acronym == place_a[:1] + kind[:1] + "".join(w[0] for w in words)
 
 
-def profiles_fit(kind: str, a_last, a_first, a_more, a_topics, b_last, b_first, b_more, b_topics) -> bool:
+def profiles_fit(kind: str, a_last, a_first, a_more, a_topics, b_last, b_first, b_more, b_topics, names: GivenNames = USUAL) -> bool:
     """Whether two profiles may be the same entity: every part that both have must fit."""
     if not any(near(x, y) for x in a_last for y in b_last):
         return False
@@ -206,11 +216,11 @@ def profiles_fit(kind: str, a_last, a_first, a_more, a_topics, b_last, b_first,
             for s in a_topics
             for t in b_topics
         )
-    if not all(any(_given_fit(x, y) for y in b_first) for x in a_first if len(x) > 2) and b_first:
+    if not all(any(_given_fit(x, y, names) for y in b_first) for x in a_first if len(x) > 2) and b_first:
         return False
-    if not all(any(_given_fit(x, y) for x in a_first) for y in b_first if len(y) > 2) and a_first:
+    if not all(any(_given_fit(x, y, names) for x in a_first) for y in b_first if len(y) > 2) and a_first:
         return False
-    if a_first and b_first and not any(_given_fit(x, y) for x in a_first for y in b_first):
+    if a_first and b_first and not any(_given_fit(x, y, names) for x in a_first for y in b_first):
         return False
     # further initials: those of one are among those of the other
     return set(a_more) <= set(b_more) or set(b_more) <= set(a_more)
@@ -233,12 +243,12 @@ def _full(first: list[str]) -> bool:
     return any(len(x) > 2 for x in first)
 
 
-def _keys(kind: str, last: list[str], first: list[str]) -> list[str]:
+def _keys(kind: str, last: list[str], first: list[str], names: GivenNames = USUAL) -> list[str]:
     """Keys of a profile; those in which only poor profiles ask begin with ``i``."""
     deletes = {d for x in last for d in _deletes(x)}
     if kind == "org":
         return sorted(f"o|{d}" for d in deletes)
-    forms = {y for x in first for y in full_forms(x) if y}
+    forms = {y for x in first for y in names.forms(x) if y}
     keys = {f"i|{c}|{d}" for c in ({y[0] for y in forms} or {"?"}) for d in deletes}
     if _full(first):
         starts = {y[:2] for y in forms} | {y[0] + y[2] for y in forms if len(y) > 2}
@@ -246,17 +256,17 @@ def _keys(kind: str, last: list[str], first: list[str]) -> list[str]:
     return sorted(keys)
 
 
-def _spellings(names: DataFrame) -> DataFrame:
+def _spellings(spellings: DataFrame, names: GivenNames) -> DataFrame:
     """One profile for each spelling that names somebody."""
 
     @F.pandas_udf("kind string, last string, first string, more array<string>, topic string")
     def parsed(name: pd.Series) -> pd.DataFrame:
         rows = []
-        for p in map(parse_name, name):
+        for p in (parse_name(x, names) for x in name):
             rows.append((None, None, None, [], None) if p is None else (p["kind"], p["last"][0], (p["first"] or [None])[0], p["more"], p["topic"]))
         return pd.DataFrame(rows, columns=["kind", "last", "first", "more", "topic"])
 
-    rows = cut(names.withColumn("p", parsed("name")).select("name", "p.*").where("kind is not null"))
+    rows = cut(spellings.withColumn("p", parsed("name")).select("name", "p.*").where("kind is not null"))
     # "Surname Given" without a comma: given names stand in front of many different family names
     flips = rows.where("kind = 'person' and topic = 'flip' and first is not null")
     leads = flips.groupBy("first").agg(F.count_distinct("last").alias("n"))
@@ -283,14 +293,20 @@ def _spellings(names: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _block_keys(kind: pd.Series, last: pd.Series, first: pd.Series) -> pd.Series:
-    return pd.Series([_keys(k, list(a), list(b)) for k, a, b in zip(kind, last, first)])
+def _block_keys(names: GivenNames):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(kind: pd.Series, last: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([_keys(k, list(a), list(b), names) for k, a, b in zip(kind, last, first)])
+
+    return keys
+
 
+def _fit(names: GivenNames):
+    @F.pandas_udf(T.BooleanType())
+    def fit(kind: pd.Series, al: pd.Series, af: pd.Series, am: pd.Series, at: pd.Series, bl: pd.Series, bf: pd.Series, bm: pd.Series, bt: pd.Series) -> pd.Series:
+        return pd.Series([profiles_fit(k, *map(list, parts), names) for k, *parts in zip(kind, al, af, am, at, bl, bf, bm, bt)], dtype=bool)
 
-@F.pandas_udf(T.BooleanType())
-def _fit(kind: pd.Series, al: pd.Series, af: pd.Series, am: pd.Series, at: pd.Series, bl: pd.Series, bf: pd.Series, bm: pd.Series, bt: pd.Series) -> pd.Series:
-    return pd.Series([profiles_fit(k, *map(list, parts)) for k, *parts in zip(kind, al, af, am, at, bl, bf, bm, bt)], dtype=bool)
+    return fit
 
 
 def _richness(first, more):
@@ -308,13 +324,13 @@ def _with_richness(profiles: DataFrame) -> DataFrame:
 _PARTS = ("last", "first", "more", "topics")
 
 
-def _ready(profiles: DataFrame) -> DataFrame:
+def _ready(profiles: DataFrame, names: GivenNames) -> DataFrame:
     """Profiles with how rich they are, whether they lack a full given name, and their keys; written."""
     poor = (F.col("kind") != "org") & ~F.exists("first", lambda x: F.length(x) > 2)
-    return cut(_with_richness(profiles).withColumn("poor", poor).withColumn("keys", _block_keys("kind", "last", "first")))
+    return cut(_with_richness(profiles).withColumn("poor", poor).withColumn("keys", _block_keys(names)("kind", "last", "first")))
 
 
-def _fitting(asking: DataFrame, profile: DataFrame, poor: bool) -> DataFrame:
+def _fitting(asking: DataFrame, profile: DataFrame, poor: bool, names: GivenNames) -> DataFrame:
     """``(a, b, ra, rb)``, a < b: pairs of profiles that fit, one of them among the asking ones.
 
     ``poor``: whether profiles without a full given name are among them.  Rows of a key that many
@@ -336,7 +352,7 @@ def _fitting(asking: DataFrame, profile: DataFrame, poor: bool) -> DataFrame:
     pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("q"))
     pairs = pairs.groupBy("a", "b").agg(F.any_value("p").alias("p"), F.any_value("q").alias("q"))
     parts = [F.col(f"{side}.{c}") for side in "pq" for c in _PARTS]
-    return pairs.where(_fit("p.kind", *parts)).select("a", "b", F.col("p.rich").alias("ra"), F.col("q.rich").alias("rb"))
+    return pairs.where(_fit(names)("p.kind", *parts)).select("a", "b", F.col("p.rich").alias("ra"), F.col("q.rich").alias("rb"))
 
 
 def _parents(fitting: DataFrame) -> DataFrame:
@@ -357,28 +373,30 @@ def _parents(fitting: DataFrame) -> DataFrame:
     return cut(oriented.groupBy("a").agg(F.min_by("b", F.struct(-F.col("rb"), "b")).alias("b")))
 
 
-def resolve_names(records: DataFrame, *, authors: str = "authors") -> DataFrame:
+def resolve_names(records: DataFrame, *, authors: str = "authors", nicknames: Mapping[str, Sequence[str]] = NICKNAMES) -> DataFrame:
     """``(name, entity)``: every spelling that names somebody, with the entity that it belongs to.
 
     Full names merge first, then names without initials, then what only initials tell, at last family
     names alone (which meet one another only); rounds go on until no further merge occurs.
+    ``nicknames``: short forms of given names and the names that they stand for.
 
     Defined cases: null and empty arrays, null elements and placeholders (dashes, "unknown", "et
     al.", ...) name nobody and are left out; letters of any script name somebody; repeated names count
     once; a very long name is one spelling like any other; further columns are ignored; an empty
     table gives an empty result.
     """
-    names = records.select(F.explode(authors).alias("name")).where("name is not null").distinct()
+    names = GivenNames(nicknames)
+    spellings = records.select(F.explode(authors).alias("name")).where("name is not null").distinct()
     # spellings with a full given name that read the same are one profile from the start
     alone = F.when(F.col("rich") < 2, F.col("name"))
-    read = _with_richness(_spellings(names)).groupBy("kind", *_PARTS, alone.alias("alone"))
-    profile = _ready(read.agg(F.min("id").alias("id"), F.collect_list("name").alias("members")).drop("alone").withColumn("fresh", F.lit(True)))
+    read = _with_richness(_spellings(spellings, names)).groupBy("kind", *_PARTS, alone.alias("alone"))
+    profile = _ready(read.agg(F.min("id").alias("id"), F.collect_list("name").alias("members")).drop("alone").withColumn("fresh", F.lit(True)), names)
     fitting, labels = None, None
     for turn in range(_MOST_ROUNDS + 1):
         least, before = max(-1, 3 - turn), max(-1, 4 - turn)
         # who was changed by the last round, or is admitted by this one, is compared with all
         present = profile.where(F.col("rich") >= least)
-        found = _fitting(present.where(F.col("fresh") | (F.col("rich") < before)), present, least < 2)
+        found = _fitting(present.where(F.col("fresh") | (F.col("rich") < before)), present, least < 2, names)
         if fitting is not None:  # what was found before and has not changed since still stands
             changed = of_rows(labels.select(F.explode(F.array("id", "label")).alias("a")).distinct(), 2 * merges) if labels is not None else None
             kept = fitting if labels is None else fitting.join(changed, "a", "left_anti").join(changed.withColumnRenamed("a", "b"), "b", "left_anti")
@@ -397,7 +415,7 @@ def resolve_names(records: DataFrame, *, authors: str = "authors") -> DataFrame:
         merged = profile.drop("rich", "poor", "keys", "fresh").join(of_rows(labels, merges), "id", "left").groupBy(F.coalesce("label", "id").alias("id")).agg(
             F.first("kind").alias("kind"), *(union(c).alias(c) for c in (*_PARTS, "members")), (F.count("*") > 1).alias("fresh")
         )
-        profile = _ready(merged)
+        profile = _ready(merged, names)
     else:
         raise RuntimeError(f"names still merge after {_MOST_ROUNDS} rounds")
     return profile.select(F.explode("members").alias("name"), F.col("id").alias("entity"))

@@ -73,6 +73,13 @@ def test_all_initials_are_united(spark):
     assert linked(spark, names) == {(a, b) for a in names[:4] for b in names[:4] if a < b}
 
 
+def test_own_nicknames(spark):
+    names = ["Xaverina Zajhegtebik", "Vroni Zajhegtebik"]
+    assert linked(spark, names) == set()
+    found = resolve_names(frame(spark, [names]), nicknames={"Vroni": ["Xaverina"]})
+    assert [tuple(p) for p in linked_spellings(found).collect()] == [("Vroni Zajhegtebik", "Xaverina Zajhegtebik")]
+
+
 def test_long_names(spark):
     long = "x" * 40 + "abcdefgh" * 5
     names = [f"Ana {long}", f"Ana {long[:70]}q{long[71:]}", f"Ana q{long[1:]}", f"Ana {long[::-1]}"]
