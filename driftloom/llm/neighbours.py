@@ -1,27 +1,32 @@
 """The k most similar vectors of every vector, by cosine (problem 3).
 
-Block matrix join.  Vectors are cut into blocks around centroids fitted on a bounded sample; every
-vector belongs to its nearest block and queries its ``probes`` nearest blocks.  A task multiplies
-int8 codes of queries with int8 codes of members, tile by tile.  Codes carry the norm of their
-quantisation error, which bounds how far a product may be from the cosine; only pairs whose upper
-bound reaches the k-th best lower bound are computed again in float, and the best k of a block are
-merged with those of the query's other blocks.
+Block matrix join.  Vectors are routed by leaves, centroids of some ``leaf_rows`` rows each, whose
+number grows with the table.  They are found in two levels: cells are fitted on a bounded sample, and
+the leaves of each cell in one task, on the cell's rows.  Neighbouring leaves of a cell make a block.
+A vector belongs to the block of its nearest leaf and queries the blocks of all leaves that are about
+as near as that one (:func:`_probed`): most query one block, those between leaves query many.  A task
+multiplies int8 codes of queries with int8 codes of members, tile by tile.  Codes carry the norm of
+their quantisation error, which bounds how far a product may be from the cosine; only pairs whose
+upper bound reaches the k-th best lower bound are computed again in float, and the best k of a block
+are merged with those of the query's other blocks.
 
 Copies: vectors whose unit forms agree to about six digits have the same neighbours.  A group of
 more than ``k + 1`` of them is reduced to its ``k + 1`` smallest ids before the join - by the tie rule
 all neighbours of any copy are among them - so a vector that fills a third of the table, at whatever
 lengths, does not make a block of that size.
 
-Scale: ``blocks`` grows with the rows (a fixed number of rows each) up to ``max_blocks``, which
-bounds the broadcast centroids.  The sample is the rows with the least hashes, wherever they stand;
-centroids are fitted by distributed rounds of assigning and adding up.  Each vector is shuffled
-``probes`` times.  A block with more members or more queries than a group may hold is tiled on both
-sides: every group is one part of the members and one part of the queries.
+Scale: leaves are broadcast as int8 differences from their cell, two or three bytes a row of the
+table, up to ``max_blocks`` of them; cells are about as many as leaves in a cell, so a vector is
+compared with a number of centroids that grows with the square root of the table.  Samples are the
+rows with the least hashes, wherever they stand.  A block with more members or more queries than a
+group may hold is tiled on both sides: every group is one part of the members and one part of the
+queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,10 @@ from driftloom.plans.spread import spread
 TILE = 2048
 #: Unit vectors are compared as whole multiples of this for being copies.
 GRAIN = 2.0**-20
+#: A leaf is queried if its cosine is less by at most ``NEAR``, or ``CLOSE`` times what the nearest leaf's lacks to 1.
+NEAR, CLOSE, CODED = 0.12, 2.0, 1e-3
+#: Leaves of a block, cells in which a vector looks for leaves, and the most rows on which a cell's leaves are fitted.
+LEAVES, CELLS, CELL_ROWS = 16, 40, 200_000
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,10 +169,102 @@ def _nearest(x: np.ndarray, centres: np.ndarray, near: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, near), np.int64)
 
 
+@dataclass
+class Index:
+    """Leaves, as int8 differences from the centre of their cell; leaves of a cell stand together."""
+
+    centres: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray
+    scale: np.ndarray
+    block: np.ndarray
+    member_parts: np.ndarray
+    query_parts: np.ndarray
+
+
+def _probed(x: np.ndarray, index: Index, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, block, home)``: the blocks of the leaves that are about as near to a row as its nearest
+    leaf, ``probes`` at most, and whether it is the nearest leaf's."""
+    near = _nearest(x, index.centres, min(CELLS, len(index.centres)))
+    best, found = np.full(len(x), -np.inf, np.float32), []
+
+    def least(best: np.ndarray) -> np.ndarray:
+        return best - np.minimum(NEAR, CODED * np.sqrt(np.maximum(2 - 2 * best, 0)) + CLOSE * np.maximum(1 - best, 0)) - 1e-6
+
+    # the nearest cells first, so that few leaves of the others are kept
+    for ranks in (near[:, :2], near[:, 2:]):
+        order = np.argsort(ranks.ravel(), kind="stable")
+        at = np.searchsorted(ranks.ravel()[order], np.arange(len(index.centres) + 1))
+        for cell in np.flatnonzero(np.diff(at)):
+            first, last = index.starts[cell : cell + 2]
+            if first == last:
+                continue
+            rows = order[at[cell] : at[cell + 1]] // ranks.shape[1]
+            q = x[rows]
+            score = (q @ index.codes[first:last].astype(np.float32).T) * index.scale[None, first:last] + (q @ index.centres[cell])[:, None]
+            best[rows] = np.maximum(best[rows], score.max(1))
+            r, leaf = np.nonzero(score >= least(best[rows])[:, None])
+            found.append((rows[r], first + leaf, score[r, leaf]))
+    row, leaf, score = (np.concatenate(c) for c in zip(*found))
+    kept = score >= least(best)[row]
+    row, block, score = row[kept], index.block[leaf[kept]], score[kept]
+    # one row a block, best first
+    order = np.lexsort((-score, block, row))
+    row, block, score = row[order], block[order], score[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])]
+    row, block, score = row[new], block[new], score[new]
+    order = np.lexsort((block, -score, row))
+    row, block = row[order], block[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    return row[place < probes], block[place < probes], (place == 0)[place < probes]
+
+
+def _leaves(x: np.ndarray, centre: np.ndarray, want: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means within a cell: differences of the centroids from the cell's centre, of which
+    float32 keeps more digits in a narrow cell, and the number of the block of each."""
+    rest = x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:want]] - centre
+    for turn in range(rounds):
+        home, best, second = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32), np.full(len(x), -np.inf, np.float32)
+        for at in range(0, len(x), 2000):
+            part = slice(at, at + 2000)
+            score = x[part] @ rest.T
+            home[part], rows = np.argmax(score, axis=1), np.arange(len(score))
+            best[part] = score[rows, home[part]]
+            if len(rest) > 1:
+                score[rows, home[part]] = -np.inf
+                second[part] = score.max(1)
+        if turn < rounds - 1 and len(rest) > 1:
+            # leaves that another replaces at little loss begin again at rows that have none near
+            loss = np.bincount(home, best - second, len(rest))
+            lack = 1 - x @ centre - best
+            spare = np.argsort(loss, kind="stable")[: max(1, len(rest) // 5)]
+            far = np.argsort(-lack, kind="stable")[: max(1, len(x) // 4)][:: max(1, len(x) // 4 // len(spare))][: len(spare)]
+            spare = spare[: len(far)]
+            good = loss[spare] < 3 * lack[far]
+            spare, far = spare[good], far[good]
+            home[far] = spare
+        order = np.argsort(home, kind="stable")
+        held, at = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(x[order].astype(np.float64), at, axis=0)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        rest[held] = np.where(size > 0, sums / np.maximum(size, 1e-30) - centre, rest[held])
+    block, groups, done = np.zeros(len(rest), np.int64), [np.arange(len(rest))], 0
+    while groups:  # halves along the direction in which they differ most
+        group = groups.pop()
+        if len(group) <= LEAVES:
+            block[group], done = done, done + 1
+            continue
+        away = rest[group] - rest[group].mean(0)
+        order = np.argsort(away @ np.linalg.eigh(away.T @ away)[1][:, -1], kind="stable")
+        groups += [group[order[: len(group) // 2]], group[order[len(group) // 2 :]]]
+    return rest, block
+
+
 def _fit(sample: DataFrame, dim: int, blocks: int, rounds: int) -> np.ndarray:
     """Spherical k-means over the written sample; the driver sees centroids only, at most ``blocks``."""
     spark = sample.sparkSession
-    first = sample.dropDuplicates(["h"]).orderBy("h").limit(blocks).select("v").collect()
+    least = sample.select("h").distinct().orderBy("h").limit(blocks).agg(F.max("h")).first()[0]
+    first = sample.where(F.col("h") <= F.lit(least)).dropDuplicates(["h"]).orderBy("h").select("v").collect()
     centres = np.array([np.frombuffer(r.v, np.float32) for r in first])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centres)
@@ -187,6 +288,71 @@ def _fit(sample: DataFrame, dim: int, blocks: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def _index(joined: DataFrame, dim: int, n: int, leaves: int, probes: int, sample_per_block: int, rounds: int, group_rows: int) -> Index:
+    """Cells fitted on a bounded sample, the leaves of each fitted in a task of its own, and the parts
+    of a block's members and queries, by what a bounded sample sends there."""
+    spark = joined.sparkSession
+    place = F.pmod("h", F.lit(1 << 20))
+
+    def share(rows: int) -> int:
+        # rows with the least hashes: the same whatever their order or partition, none is preferred
+        return int(np.ceil(min(1.0, rows / max(1, n)) * (1 << 20)))
+
+    cells = max(1, int(np.sqrt(leaves) * 0.8))
+    sample = cut(joined.where(place < share(cells * 100)))
+    centres = _fit(sample, dim, cells, min(rounds, 4))
+    shared = spark.sparkContext.broadcast(centres)
+
+    def cell_of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_nearest(_matrix(batch.column(0), dim), shared.value, 1)[:, 0], pa.int32()), *batch.columns], ["cell", "v", "h"])
+
+    counts = {r.cell: r["count"] for r in sample.select("v", "h").mapInArrow(cell_of, "cell int, v binary, h bigint").groupBy("cell").count().collect()}
+    scale = n / max(1, sum(counts.values()))
+    rows_in = np.array([counts.get(c, 0) * scale for c in range(len(centres))])
+    shares = np.minimum(min(1.0, leaves * sample_per_block / max(1, n)), CELL_ROWS / np.maximum(rows_in, 1))
+    bounds, per_leaf = np.ceil(shares * (1 << 20)), sample_per_block
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cell_of(batches):
+            taken = np.mod(batch.column(2).to_numpy(), 1 << 20) < bounds[batch.column(0).to_numpy()]
+            yield batch.filter(pa.array(taken))
+
+    def grow(table: pa.Table) -> pa.Table:
+        cell = table.column("cell")[0].as_py()
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        x, centre = _matrix(table.column("v"), dim)[order], shared.value[cell]
+        rest, block = _leaves(x, centre, max(1, int(np.ceil(len(x) / per_leaf))), rounds)
+        step = np.maximum(np.abs(rest).max(1), 1e-30) / 127
+        return pa.table([pa.array([cell], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in (np.rint(rest / step[:, None]).astype(np.int8), step.astype(np.float32), block))], ["cell", "codes", "scale", "block"])
+
+    grown = joined.select("v", "h").where(place < int(bounds.max())).mapInArrow(trained, "cell int, v binary, h bigint").groupBy("cell").applyInArrow(grow, "cell int, codes binary, scale binary, block binary")
+    codes, steps, blocks, starts, done = [], [], [], np.zeros(len(centres) + 1, np.int64), 0
+    for r in sorted(grown.collect(), key=lambda r: r.cell):  # one row a cell
+        steps.append(np.frombuffer(r.scale, np.float32))
+        codes.append(np.frombuffer(r.codes, np.int8).reshape(-1, dim))
+        blocks.append(np.frombuffer(r.block, np.int64) + done)
+        starts[r.cell + 1], done = len(steps[-1]), blocks[-1].max() + 1
+    ones = np.ones(done, np.int64)
+    index = Index(centres, np.cumsum(starts), np.concatenate(codes), np.concatenate(steps), np.concatenate(blocks), ones, ones.copy())
+    shared_index = spark.sparkContext.broadcast(index)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, block, lives = _probed(_matrix(batch.column(0), dim), shared_index.value, probes)
+            asked, home = np.bincount(block), np.bincount(block[lives], minlength=block.max() + 1)
+            held = np.flatnonzero(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(home[held], pa.int64()), pa.array(asked[held], pa.int64())], ["block", "home", "asked"])
+
+    sized = joined.where(place < share(200_000)) if n > group_rows else sample
+    loads = sized.select("v").mapInArrow(load, "block int, home bigint, asked bigint").groupBy("block").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"), F.sum(F.sum("home")).over(W.partitionBy()).alias("all"))
+    for r in loads.collect():  # at most one row of the sample's a block
+        scale = n / max(1, r["all"]) / group_rows
+        index.member_parts[r.block], index.query_parts[r.block] = max(1, np.ceil(r.home * scale)), max(1, np.ceil(r.asked * scale / 2))
+    shared_index.unpersist()
+    return index
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     *,
@@ -194,17 +360,19 @@ def nearest_neighbours(
     vector: str = "vector",
     k: int = 5,
     dim: int | None = None,
-    probes: int = 3,
-    block_rows: int = 64,
-    max_blocks: int = 8192,
-    sample_per_block: int = 40,
-    rounds: int = 4,
+    probes: int = 64,
+    leaf_rows: int = 20,
+    max_blocks: int = 2_500_000,
+    sample_per_block: int = 20,
+    rounds: int = 8,
     group_rows: int = 20_000,
+    exact_rows: int = 1000,
 ) -> DataFrame:
     """``(vec_id, neighbour, cosine, place)``: the k most similar other vectors of every vector.
 
-    Ties go to the smaller id.  Centroids are fitted on about ``max_blocks * sample_per_block`` rows
-    at most; every row is indexed.  With fewer rows than two blocks the join is exact.  Defined
+    Ties go to the smaller id.  Leaves are fitted on about ``sample_per_block`` rows each; every row is
+    indexed.  Up to ``exact_rows`` rows the join is exact.  ``probes`` only bounds the blocks that one
+    vector queries; how many it needs is told by :func:`_probed`.  Defined
     cases: see :func:`unit_vectors` for vectors that take no part; a repeated id is one vector (its
     rows are equal, or any one of them is taken); fewer than k others give fewer rows; an empty table
     gives an empty result; further columns are ignored.
@@ -226,55 +394,31 @@ def nearest_neighbours(
         in_hot = hashed.join(counted(hot), "h").select("h", "vec_id").distinct()
         kept = in_hot.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
         kept = kept.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
-        smallest = counted(cut(kept.groupBy("h").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))))
+        # rows of repeated ids may be no more than k others
+        smallest = counted(cut(kept.groupBy("h").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") > k)))
         others = F.slice(F.filter("ids", lambda x: x != F.col("vec_id")), 1, k)
         copies = in_hot.join(smallest, "h").select("vec_id", F.posexplode(others).alias("place", "neighbour"))
         copies = copies.select("vec_id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("place") + 1).alias("place"))
         joined = hashed.join(smallest, "h", "left").where(F.col("ids").isNull() | F.array_contains("ids", F.col("vec_id")))
         joined = joined.select("vec_id", "v", "h", F.col("ids").isNull().alias("asks"))
 
-    blocks = int(min(max_blocks, max(1, n // block_rows)))
-    centres = np.zeros((1, dim), np.float32)
-    near = 1
-    # parts of a block's members and of its queries, by what the sample sends there
-    member_parts = query_parts = np.ones(1, np.int64)
-    if blocks > 1:
-        share = min(1.0, blocks * sample_per_block / max(1, n))
-        # rows with the least hashes: the same whatever their order or partition, none is preferred
-        sample = joined.where(F.pmod("h", F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))
-        centres = _fit(sample, dim, blocks, rounds)
-    if len(centres) > 1:
-        near = min(probes, len(centres))
-        shared_centres = spark.sparkContext.broadcast(centres)
-
-        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                top = _nearest(_matrix(batch.column(0), dim), shared_centres.value, near)
-                home = np.bincount(top[:, 0], minlength=len(shared_centres.value))
-                asked = np.bincount(top.ravel(), minlength=len(shared_centres.value))
-                held = np.flatnonzero(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(home[held], pa.int64()), pa.array(asked[held], pa.int64())], ["block", "home", "asked"])
-
-        loads = sample.select("v").mapInArrow(load, "block int, home bigint, asked bigint").groupBy("block").agg(F.sum("home").alias("home"), F.sum("asked").alias("asked"), F.sum(F.sum("home")).over(W.partitionBy()).alias("all"))
-        member_parts, query_parts = np.ones(len(centres), np.int64), np.ones(len(centres), np.int64)
-        for r in loads.collect():  # one row a block
-            scale = n / max(1, r["all"]) / group_rows
-            member_parts[r.block], query_parts[r.block] = max(1, np.ceil(r.home * scale)), max(1, np.ceil(r.asked * scale / 2))
-    shared = spark.sparkContext.broadcast((centres, member_parts, query_parts))
+    leaves = int(min(max_blocks, n // leaf_rows)) if n > exact_rows else 1
+    index = Index(np.zeros((1, dim), np.float32), np.array([0, 1]), np.zeros((1, dim), np.int8), np.ones(1, np.float32), np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, np.int64))
+    if leaves > 1:
+        index = _index(joined, dim, n, leaves, probes, sample_per_block, rounds, group_rows)
+    shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, member_parts, query_parts = shared.value
+        index = shared.value
         for whole_batch in batches:
-            for start in range(0, whole_batch.num_rows, 5000):
-                batch = whole_batch.slice(start, 5000)
+            for start in range(0, whole_batch.num_rows, 10_000):
+                batch = whole_batch.slice(start, 10_000)
                 ids, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-                top = _nearest(_matrix(batch.column(1), dim), centres, near)
-                row, place = np.nonzero(np.ones(top.shape, bool))
-                block = top[row, place]
-                m, q = member_parts[block], query_parts[block]
+                row, block, lives = _probed(_matrix(batch.column(1), dim), index, probes)
+                m, q = index.member_parts[block], index.query_parts[block]
                 # where it lives: its member part, for every part of the queries; where it asks: the other way
                 home_member, home_query = ids[row] % m, (ids[row] // 7) % q
-                lives, asking = place == 0, asks[row]
+                asking = asks[row]
                 pieces = []
                 plain = (m == 1) & (q == 1) & (lives | asking)
                 pieces.append((row[plain], block[plain], np.zeros(plain.sum(), np.int64), np.zeros(plain.sum(), np.int64), lives[plain], asking[plain]))
@@ -298,6 +442,8 @@ def nearest_neighbours(
     def multiply(table: pa.Table) -> pa.Table:
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
         member, asks = (table.column(c).to_numpy() for c in ("member", "asks"))
+        # a repeated id is one vector
+        member, asks = (held[np.unique(ids[held], return_index=True)[1]] for held in (np.flatnonzero(member), np.flatnonzero(asks)))
         found = [(i, b, s) for q, bs, ss in tile_top_k(x[asks], ids[asks], x[member], ids[member], k) for i, b, s in zip(q, bs, ss) if len(b)]
         columns = list(zip(*found)) if found else [(), (), ()]
         return pa.table(

@@ -131,3 +131,17 @@ def test_sorted_table(spark):
     x = clustered(rng, 6000, centres=300)
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     assert recall_of(spark, np.arange(len(x)), x, range(5000, 6000, 5)) >= 0.93
+
+
+def test_more_groups_than_blocks_hold(spark):
+    """Groups of few rows, many of which share a block of any size: their rows are not parted by what else stands there."""
+    rng = np.random.default_rng(10)
+    x = clustered(rng, 12000, dim=32, centres=1500, noise=0.35)
+    assert recall_of(spark, np.arange(len(x)), x, range(0, len(x), 15)) >= 0.95
+
+
+def test_repeated_ids_are_one_vector(spark):
+    """Rows of one id count once, as copies and as members of a block."""
+    x = clustered(np.random.default_rng(12), 40)
+    rows = [(k, v.tolist(), "c", 1) for k, v in enumerate(x)]
+    assert answers(nearest_neighbours(frame(spark, rows + rows[:1] * 8 + rows[1:9] * 4))) == brute(list(range(40)), x)
