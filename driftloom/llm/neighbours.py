@@ -40,7 +40,7 @@ TILE = 2048
 #: Unit vectors are compared as whole multiples of this for being copies.
 GRAIN = 2.0**-20
 #: A leaf is queried if its cosine is less by at most ``NEAR``, or ``CLOSE`` times what the nearest leaf's lacks to 1.
-NEAR, CLOSE, CODED = 0.12, 2.0, 1e-3
+NEAR, CLOSE, CODED = 0.12, 4.0, 1e-3
 #: Leaves of a block, cells in which a vector looks for leaves, and the most rows on which a cell's leaves are fitted.
 LEAVES, CELLS, CELL_ROWS = 16, 40, 200_000
 

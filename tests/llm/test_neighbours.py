@@ -145,3 +145,10 @@ def test_repeated_ids_are_one_vector(spark):
     x = clustered(np.random.default_rng(12), 40)
     rows = [(k, v.tolist(), "c", 1) for k, v in enumerate(x)]
     assert answers(nearest_neighbours(frame(spark, rows + rows[:1] * 8 + rows[1:9] * 4))) == brute(list(range(40)), x)
+
+
+def test_rows_between_blocks_ask_all_that_are_near(spark):
+    """Without groups no few blocks hold the neighbours: the number of blocks follows the row, not a parameter."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 6)).astype(np.float32)
+    assert recall_of(spark, np.arange(len(x)), x, range(0, len(x), 15)) >= 0.94
