@@ -328,11 +328,14 @@ def _index(joined: DataFrame, dim: int, n: int, leaves: int, probes: int, sample
 
     grown = joined.select("v", "h").where(place < int(bounds.max())).mapInArrow(trained, "cell int, v binary, h bigint").groupBy("cell").applyInArrow(grow, "cell int, codes binary, scale binary, block binary")
     codes, steps, blocks, starts, done = [], [], [], np.zeros(len(centres) + 1, np.int64), 0
-    for r in sorted(grown.collect(), key=lambda r: r.cell):  # one row a cell
-        steps.append(np.frombuffer(r.scale, np.float32))
-        codes.append(np.frombuffer(r.codes, np.int8).reshape(-1, dim))
-        blocks.append(np.frombuffer(r.block, np.int64) + done)
-        starts[r.cell + 1], done = len(steps[-1]), blocks[-1].max() + 1
+    held = {r.cell: (r.codes, r.scale, r.block) for r in grown.collect()}  # one row a cell
+    alone = bytes(dim), np.ones(1, np.float32).tobytes(), np.zeros(1, np.int64).tobytes()  # its centre, so that every row meets a leaf
+    for cell in range(len(centres)):
+        code, step, block = held.get(cell, alone)
+        steps.append(np.frombuffer(step, np.float32))
+        codes.append(np.frombuffer(code, np.int8).reshape(-1, dim))
+        blocks.append(np.frombuffer(block, np.int64) + done)
+        starts[cell + 1], done = len(steps[-1]), blocks[-1].max() + 1
     ones = np.ones(done, np.int64)
     index = Index(centres, np.cumsum(starts), np.concatenate(codes), np.concatenate(steps), np.concatenate(blocks), ones, ones.copy())
     shared_index = spark.sparkContext.broadcast(index)
